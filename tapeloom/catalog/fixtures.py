@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import SCORE_COLUMNS, SEMANTIC_PROMPTS
+from ..session import materialize
 
 DAY = 86_400_000_000
 US_CHUNK = 600_000_000
@@ -77,8 +78,8 @@ def scored(spark, sf, scale: float = 2.0) -> DataFrame:
     """Windows with an open label map; negative values count as absent labels."""
     v = vectors(spark, sf)
     names = F.array(*[F.lit(x) for x in LABELS])
-    pairs = F.arrays_zip(F.slice(names, 1, F.least(F.size("embedding"), F.lit(len(LABELS)))).alias("k"), F.col("embedding").alias("v"))
-    kept = F.filter(pairs, lambda x: x["v"].isNotNull() & x["k"].isNotNull() & (x["v"] > 0))
+    pairs = F.transform(names, lambda n, i: F.struct(n.alias("k"), F.get("embedding", F.pmod(i, F.lit(64))).alias("v")))
+    kept = F.filter(pairs, lambda x: x["v"] > 0)
     scores = F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"] * scale)))
     return v.select("rec_id", "start", "end", (F.pmod("vec_id", F.lit(17)) == 0).alias("quiet"), scores.alias("scores"), "vec_id")
 
@@ -102,7 +103,8 @@ def described(spark, sf, scale: float = 2.0, shrink: dict[str, float] | None = N
     rows = a.join(b, "vec_id")
     for name, factor in (shrink or {}).items():
         rows = rows.withColumn(name, F.col(name) * factor)
-    return rows
+    # Detection reads its window table several times: promote once, write once.
+    return materialize(rows)
 
 
 def hop_recordings(spark, sf) -> DataFrame:
@@ -213,7 +215,7 @@ def voiced(spark, sf) -> DataFrame:
 
 # The same views as SQL.
 
-_LABEL_INDEX = {label: i + 1 for i, label in enumerate(LABELS)}
+_LABEL_INDEX = {label: i % 64 + 1 for i, label in enumerate(LABELS)}
 _N = sum(c for _, c in SEMANTIC_PROMPTS)
 
 
@@ -320,7 +322,7 @@ def sql_merge(source: str, gap="0", key: str = "rec_id") -> str:
     return (
         f"SELECT {key}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY {key} ORDER BY s, e "
         f"ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT {key}, s, e, CASE WHEN s - {seen} <= {gap} THEN 0 ELSE 1 END AS f "
-        f"FROM {source} WHERE e > s)) GROUP BY {key}, run"
+        f"FROM (SELECT DISTINCT {key}, s, e FROM {source} WHERE e > s))) GROUP BY {key}, run"
     )
 
 

@@ -195,48 +195,55 @@ def drinking_events(
     return iv.merge(hits.select(*by, *SPAN), 2.0, by, chunk)
 
 
-def extend_breaks(events: DataFrame, windows: DataFrame, by: Sequence[str] = BY, chunk=CHUNK) -> DataFrame:
-    """Grow each event over the rest activity around it (at most 24 s each way)."""
-    by = list(by)
+def extend_breaks(
+    events: DataFrame, windows: DataFrame, by: Sequence[str] = BY, chunk=CHUNK, tags: Sequence[str] = ()
+) -> DataFrame:
+    """Grow each event over the rest activity around it (at most 24 s each way).
+
+    Events of several kinds grow in one pass when ``tags`` names their kind.
+    """
+    by, tags = list(by), list(tags)
     r = Scores.of(windows)
     competing = r.top("breath", "airflow", "liquid", "gargle", "expressive", "laughter", "soft_laugh", "loud_laugh")
     stop = ((r.v("texture") >= 0.12) & (r.v("texture") > competing * 1.5)) | (
         ~r.quiet & (competing < 0.055) & (r.v("container") < 0.10)
     )
     rows = windows.select(*by, *SPAN, stop.alias("stop"))
-    spans = events.select(*by, *SPAN).distinct()
-    spans = spans.select(
+    event = [*by, *tags, *SPAN]
+    spans = events.select(*event).distinct()
+    probes = spans.select(
         "*",
         (F.col("start") - 24).alias("_l0"),
         (F.col("start") + 2).alias("_l1"),
         (F.col("end") - 2).alias("_r0"),
         (F.col("end") + 24).alias("_r1"),
     )
-    key = F.struct(*[F.col(f"range.{c}").alias(c) for c in (*by, *SPAN)]).alias("event")
-    item = F.struct("point.start", "point.end", "point.stop")
-    left = stab(spans, rows, "end", "_l0", "_l1", by, chunk).groupBy(*by, key).agg(
-        F.array_sort(F.collect_list(item)).alias("rows")
-    )
-    right = stab(spans, rows, "start", "_r0", "_r1", by, chunk).groupBy(*by, key).agg(
-        F.array_sort(F.collect_list(item)).alias("rows")
-    )
+
+    def side(at: str, lo: str, hi: str, left: bool) -> DataFrame:
+        near = stab(probes, rows, at, lo, hi, by, chunk)
+        return near.select(
+            *[F.col(f"range.{c}").alias(c) for c in event],
+            F.lit(left).alias("left"),
+            F.struct("point.start", "point.end", "point.stop").alias("row"),
+        )
+
+    near = side("end", "_l0", "_l1", True).unionByName(side("start", "_r0", "_r1", False))
+    gather = lambda own: F.array_sort(F.collect_list(F.when(own, F.col("row"))))
+    near = near.groupBy(*event).agg(gather(F.col("left")).alias("_left"), gather(~F.col("left")).alias("_right"))
 
     def grow(span: Column, ordered: Column) -> Column:
-        none = F.array().cast("array<struct<start:double,end:double,stop:boolean>>")
         return F.aggregate(
-            F.coalesce(ordered, none),
+            ordered,
             span,
             lambda acc, x: _extend(acc, x, x["stop"] | (x["start"] > acc["hi"] + 2) | (x["end"] < acc["lo"] - 2)),
         )
 
-    grown = (
-        spans.select(*by, F.struct(*by, *SPAN).alias("event"))
-        .join(left.withColumnRenamed("rows", "_left"), by + ["event"], "left")
-        .join(right.withColumnRenamed("rows", "_right"), by + ["event"], "left")
-        .withColumn("_s", grow(_span(F.col("event.start"), F.col("event.end")), F.reverse("_left")))
-        .withColumn("_s", grow(_span(F.col("_s.lo"), F.col("_s.hi")), F.col("_right")))
-    )
-    return iv.merge(grown.select(*by, F.col("_s.lo").alias("start"), F.col("_s.hi").alias("end")), 0, by, chunk)
+    grown = near.withColumn("_s", grow(_span(F.col("start"), F.col("end")), F.reverse("_left")))
+    grown = grown.withColumn("_s", grow(_span(F.col("_s.lo"), F.col("_s.hi")), F.col("_right")))
+    grown = grown.select(*by, *tags, F.col("_s.lo").alias("start"), F.col("_s.hi").alias("end"))
+    # An event without any window near it stays as it is.
+    alone = spans.select(*by, *tags, *[F.col(c).cast("double").alias(c) for c in SPAN])
+    return iv.merge(grown.unionByName(alone), 0, [*by, *tags], chunk)
 
 
 def laughter_events(windows: DataFrame, kind: str, by: Sequence[str] = BY, chunk=CHUNK) -> DataFrame:
@@ -250,62 +257,6 @@ def expressive_breaks(windows: DataFrame, by: Sequence[str] = BY, chunk=CHUNK) -
     return extend_breaks(iv.merge(hits, 0, by, chunk), windows, by, chunk)
 
 
-def impact_events(
-    windows: DataFrame, levels: DataFrame, recordings: DataFrame, by: Sequence[str] = BY, chunk=CHUNK, step: float = 0.05
-) -> DataFrame:
-    """A drop or crash label plus one isolated burst of the waveform.
-
-    ``levels`` holds ``(step_idx, rms, peak)`` per 50 ms.  A window names the
-    steps of its surroundings (at most window + 6 s), so the join is an equi join
-    and a group is as small as the window.
-    """
-    by = list(by)
-    hits = windows.where(Scores.of(windows).v("impact") >= 0.25).select(*by, *SPAN).distinct()
-    hits = hits.join(recordings.select(*by, "duration"), by)
-    a = F.greatest(F.lit(0.0), F.col("start") - 3)
-    b = F.least(F.col("duration"), F.col("end") + 3)
-    hits = hits.select("*", a.alias("a"), b.alias("b"))
-    first = F.bround(F.col("a") / step, 0).cast("long")
-    count = F.floor((F.col("b") - F.col("a")) / step + 1e-9).cast("long")
-    hits = hits.withColumn("_n", count).where(count >= 10)
-    steps = hits.withColumn("step_idx", F.explode(F.sequence(first, first + count - 1))).join(
-        levels.select(*by, "step_idx", "rms", "peak"), by + ["step_idx"]
-    )
-    key = [*by, "start", "end", "a", "duration"]
-    base = F.greatest(F.expr("percentile(rms, 0.65)"), F.lit(0.0004))
-    grouped = steps.groupBy(*key).agg(
-        base.alias("_base"), F.array_sort(F.collect_list(F.struct("step_idx", "rms", "peak"))).alias("_rows")
-    )
-    # Bursts of one window: a fold over its ordered steps, at most a few hundred.
-    empty = F.array().cast("array<struct<lo:bigint,hi:bigint,peak:double>>")
-    burst = lambda x: F.struct(
-        x["step_idx"].alias("lo"), (x["step_idx"] + 1).alias("hi"), x["peak"].cast("double").alias("peak")
-    )
-
-    def step_in(acc, x):
-        last = F.element_at(acc, -1)
-        linked = F.struct(last["lo"].alias("lo"), (x["step_idx"] + 1).alias("hi"), F.greatest(last["peak"], x["peak"].cast("double")).alias("peak"))
-        grows = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["hi"] == x["step_idx"])
-        return F.when(grows, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(linked))).otherwise(
-            F.concat(acc, F.array(burst(x)))
-        )
-
-    loud = F.filter("_rows", lambda x: x["rms"] > F.col("_base") * 4)
-    bursts = grouped.withColumn("_bursts", F.aggregate(loud, empty, step_in)).where(F.size("_bursts") <= 3)
-    bursts = bursts.withColumn("_x", F.explode("_bursts"))
-    at, until = F.col("_x.lo") * step, F.col("_x.hi") * step
-    real = (
-        (until > F.col("start"))
-        & (at < F.col("end"))
-        & ((F.col("_x.hi") - F.col("_x.lo")) * step <= 0.65 + 1e-9)
-        & (F.col("_x.peak") >= 0.035)
-    )
-    events = bursts.where(real).select(
-        *by, F.greatest(F.lit(0.0), at - 0.4).alias("start"), F.least(F.col("duration"), until + 0.8).alias("end")
-    )
-    return iv.merge(events, 0.4, by, chunk)
-
-
 def voice_intervals(
     coarse: DataFrame, fine: DataFrame, uncertain: DataFrame, breaks: DataFrame, by: Sequence[str] = BY, chunk=CHUNK
 ) -> DataFrame:
@@ -341,25 +292,37 @@ def detect_whispers(contexts: DataFrame, fine: DataFrame, by: Sequence[str] = BY
 
 
 def category_report(
-    windows: DataFrame, segments: DataFrame, levels: DataFrame, recordings: DataFrame, by: Sequence[str] = BY, chunk=CHUNK
+    windows: DataFrame, segments: DataFrame, impacts: DataFrame, by: Sequence[str] = BY, chunk=CHUNK,
+    drink_pattern: str | None = None,
 ) -> DataFrame:
-    """Every category of one persisted window table as rows ``(category, start, end)``."""
-    found = {
-        "airflow": extend_breaks(airflow_events(windows, by, chunk), windows, by, chunk),
-        "drinking": extend_breaks(drinking_events(windows, segments, by, chunk), windows, by, chunk),
-        "soft_laugh": laughter_events(windows, "soft_laugh", by, chunk),
-        "loud_laugh": laughter_events(windows, "loud_laugh", by, chunk),
-        "impacts": impact_events(windows, levels, recordings, by, chunk),
-        "heartbeat": rhythmic_runs(windows, "heartbeat", by, chunk),
-        "tapping": rhythmic_runs(windows, "tapping", by, chunk),
-        "expressive_breaks": expressive_breaks(windows, by, chunk),
-        "extraction": iv.merge(texture_regions(windows, by, chunk), 0, by, chunk),
-    }
-    rows = [
-        df.select(*by, F.lit(name).alias("category"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-        for name, df in found.items()
+    """Every category of one stored window table as rows ``(category, start, end)``.
+
+    ``impacts`` come from :func:`tapeloom.operators.signal.impact_events`, which
+    also needs the samples.  All break-like categories grow in one pass; policy
+    is applied later.
+    """
+    by = list(by)
+    r = Scores.of(windows)
+    kinds = F.array_compact(
+        F.array(p.laugh_kind(r), F.when(r.v("expressive") >= 0.42, F.lit("expressive_breaks")))
+    )
+    hits = windows.select(*by, *SPAN, F.explode(kinds).alias("category"))
+    named = lambda df, name: df.select(
+        *by, F.lit(name).alias("category"), *[F.col(c).cast("double").alias(c) for c in SPAN]
+    )
+    tagged = [*by, "category"]
+    seeds = iv.merge(hits, 0, tagged, chunk).select(*tagged, *[F.col(c).cast("double").alias(c) for c in SPAN])
+    seeds = seeds.unionByName(named(airflow_events(windows, by, chunk), "airflow")).unionByName(
+        named(drinking_events(windows, segments, by, chunk, drink_pattern), "drinking")
+    )
+    runs = named(rhythmic_runs(windows, "heartbeat", by, chunk), "heartbeat").unionByName(
+        named(rhythmic_runs(windows, "tapping", by, chunk), "tapping")
+    )
+    texture = iv.merge(texture_regions(windows, by, chunk), 0, by, chunk)
+    parts = [
+        extend_breaks(seeds, windows, by, chunk, ["category"]), runs, named(impacts, "impacts"), named(texture, "extraction"),
     ]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, [df.select(*tagged, *SPAN) for df in parts])
 
 
 # Decisions over probes of one candidate.

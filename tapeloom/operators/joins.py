@@ -108,13 +108,13 @@ def covering(
     by = list(by)
     margin = F.lit(slack)
     offered = spans.where(F.col("end") > F.col("start")).withColumn(
-        "_ck", F.explode(F.sequence(slot(F.col("start") - margin, chunk), slot(F.col("end") + margin, chunk)))
+        "_slot_", F.explode(F.sequence(slot(F.col("start") - margin, chunk), slot(F.col("end") + margin, chunk)))
     )
-    offered = offered.select(*by, "_ck", (F.col("start") - margin).alias("_t"), F.lit(0).alias("_o"), F.struct(*spans.columns).alias("span"))
-    asked = points.withColumn("_ck", slot(F.col(at), chunk)).withColumn("_t", F.col(at)).withColumn("_o", F.lit(1))
+    offered = offered.select(*by, "_slot_", (F.col("start") - margin).alias("_when_"), F.lit(0).alias("_probe_"), F.struct(*spans.columns).alias("_span_"))
+    asked = points.withColumn("_slot_", slot(F.col(at), chunk)).withColumn("_when_", F.col(at)).withColumn("_probe_", F.lit(1))
     rows = asked.unionByName(offered, allowMissingColumns=True)
     # Spans with equal start: the longest comes last.
-    upto = Window.partitionBy(*by, "_ck").orderBy("_t", "_o", "span.end").rowsBetween(Window.unboundedPreceding, 0)
-    value = F.max("span.end").over(upto).alias("reach") if reach else F.last("span", ignorenulls=True).over(upto).alias("_span")
-    found = rows.select(*[F.col(c) for c in points.columns], "_o", value).where(F.col("_o") == 1).drop("_o")
-    return found if reach else found.withColumnRenamed("_span", "span")
+    upto = Window.partitionBy(*by, "_slot_").orderBy("_when_", "_probe_", "_span_.end").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.max("_span_.end").over(upto).alias("reach") if reach else F.last("_span_", ignorenulls=True).over(upto).alias("_found_")
+    found = rows.select(*[F.col(c) for c in points.columns], "_probe_", value).where(F.col("_probe_") == 1).drop("_probe_")
+    return found if reach else found.withColumnRenamed("_found_", "span")

@@ -220,3 +220,32 @@ def islands(
         *[_MERGES[k][0](v, position).alias(n) for n, (k, v) in aggs.items()],
     )
     return stitch(parts, breaks, [_MERGES[k][1](F.col(n)).alias(n) for n, (k, _) in aggs.items()], by)
+
+
+def framed(
+    df: DataFrame,
+    index: str,
+    before: int,
+    after: int,
+    columns: Callable,
+    by: Sequence[str] = ("rec_id",),
+    block: int = 8192,
+) -> DataFrame:
+    """Add columns computed over a frame of neighbouring indices.
+
+    ``columns(frame)`` gets a function ``frame(lo, hi)`` that returns the window
+    of rows whose integer index differs by lo … hi.  Blocks of indices are
+    scanned separately; the few rows near a block edge are repeated in the
+    neighbouring block, so the plan has one exchange and no join.
+    """
+    by = list(by)
+    at = F.col(index)
+    own = F.floor(at / block).cast("long")
+    # A row is read by the blocks of the indices that look at it.
+    low, high = F.floor((at - after) / block).cast("long"), F.floor((at + before) / block).cast("long")
+    rows = df.withColumn("_own", own).withColumn("_blk", F.explode(F.sequence(low, high)))
+    base = Window.partitionBy(*by, "_blk").orderBy(index)
+    added = columns(lambda lo, hi: base.rangeBetween(lo, hi))
+    for name, value in added.items():
+        rows = rows.withColumn(name, value)
+    return rows.where(F.col("_blk") == F.col("_own")).drop("_own", "_blk")
