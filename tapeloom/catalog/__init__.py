@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["kernel_queries", "grid_queries", "label_queries", "evidence_queries"]
+MODULES = ["kernel_queries", "grid_queries", "label_queries", "evidence_queries", "frame_queries", "transcript_queries", "timeline_queries"]
 
 
 def load():

@@ -143,7 +143,7 @@ def shipped(spark, sf) -> DataFrame:
         "_t", F.coalesce(F.sum("l_quantity").over(day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     )
     rows = rows.join(per_day, ["l_suppkey", "l_shipdate"])
-    return rows.select(
+    return materialize(rows.select(
         F.col("l_suppkey").alias("rec_id"),
         (F.col("_before") + F.col("_i") - 1).alias("ordinal"),
         (F.col("_clock") + F.col("_t")).alias("pts"),
@@ -153,7 +153,7 @@ def shipped(spark, sf) -> DataFrame:
         "l_discount",
         "l_tax",
         "l_orderkey",
-    )
+    ))
 
 
 def packets(spark, sf) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import to_db
+from ..session import materialize
 from . import intervals as iv
 from .scan import framed, islands, neighbours, running
 
@@ -142,6 +143,10 @@ def output_clock(keeps: DataFrame, by: Sequence[str] = BY, chunk=600.0) -> DataF
 def joined_spans(keeps: DataFrame, quiet: DataFrame, by: Sequence[str] = BY, chunk=600.0) -> DataFrame:
     """Quiet time on the joined clock; quiet that meets across a cut becomes one span."""
     clock = output_clock(keeps.select(*by, "start", "end"), by, chunk)
+    return _joined(clock, quiet, by, chunk)
+
+
+def _joined(clock: DataFrame, quiet: DataFrame, by, chunk) -> DataFrame:
     pairs = iv.intersect(quiet.select(*by, "start", "end"), clock, by, chunk)
     shift = F.col("r.output_start") - F.col("r.start")
     moved = pairs.select(*by, (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
@@ -155,12 +160,15 @@ def trim_quiet(
 
     ``budget`` is a column of ``keeps`` that is constant per recording, or a
     literal.  Returns the kept and the removed intervals on the source clock,
-    each with the start of its keep as ``unit``.
+    each with the start of its keep as ``unit``.  Inputs, the joined clock and
+    the cuts are stored, because the steps below read each of them repeatedly.
     """
     by = list(by)
-    rows = keeps.withColumn("_b", budget)
-    limits = rows.groupBy(*by).agg(F.max("_b").alias("_b"))
-    long = joined_spans(keeps, quiet, by, chunk).join(limits, by).where(F.col("end") - F.col("start") > F.col("_b") + 1e-8)
+    keeps = materialize(keeps.select(*by, "start", "end", budget.alias("_b")))
+    quiet = materialize(quiet.select(*by, "start", "end"))
+    clock = materialize(output_clock(keeps.select(*by, "start", "end"), by, chunk))
+    limits = keeps.groupBy(*by).agg(F.max("_b").alias("_b"))
+    long = _joined(clock, quiet, by, chunk).join(limits, by).where(F.col("end") - F.col("start") > F.col("_b") + 1e-8)
     left = F.floor(F.col("_b") / 2) if integer else F.col("_b") / 2
     kind = keeps.schema["start"].dataType
     cuts = long.select(
@@ -168,7 +176,7 @@ def trim_quiet(
         (F.col("start") + left).cast(kind).alias("start"),
         (F.col("end") - (F.col("_b") - left)).cast(kind).alias("end"),
     )
-    clock = output_clock(keeps.select(*by, "start", "end"), by, chunk)
+    cuts = materialize(cuts)
     placed = clock.select(
         *by, F.col("output_start").alias("start"), F.col("output_end").alias("end"), F.col("start").alias("_source"), F.col("end").alias("_stop")
     )
