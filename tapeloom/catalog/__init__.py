@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ["kernel_queries", "grid_queries", "label_queries", "evidence_queries", "frame_queries", "transcript_queries", "timeline_queries"]
+MODULES = [
+    "kernel_queries", "grid_queries", "label_queries", "evidence_queries", "frame_queries", "transcript_queries",
+    "timeline_queries", "plan_queries", "store_queries",
+]
 
 
 def load():
