@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import RETENTION
@@ -331,7 +333,7 @@ def sips(spark, sf):
         lambda k, a, b: a + F.coalesce(b, F.lit(0.0)),
     )
     at = F.col("start") / 2
-    return materialize(df.withColumn("semantic", semantic).withColumn("start", at).withColumn("end", at + 3.0))
+    return materialize(df.withColumns({"semantic": semantic, "start": at, "end": at + 3.0}))
 
 
 @query("sequence_drink_decisions")
@@ -352,14 +354,20 @@ def sequence_review_drinking(spark, sf):
 
 
 # Sound of 16 kHz made from orders: noise with dull stretches of 10 s every 100 s.
+def _noise(batches):
+    place = np.arange(4000, dtype=np.int64)
+    for batch in batches:
+        order, i = batch["o_orderkey"].to_numpy(), batch["i"].to_numpy()
+        dull = ((i % 400 >= 200) & (i % 400 < 240))[:, None]
+        at = order[:, None] * 4000 + np.where(dull, place - place % 32, place)
+        samples = (at * 48271 % 65537 % 8001 - 4000).astype(np.int16)
+        yield pd.DataFrame({"rec_id": batch["rec_id"], "i": i, "samples": list(samples)})
+
+
 def noise_blocks(spark, sf):
-    o = table(spark, sf, "orders")
-    i = F.pmod("o_orderkey", F.lit(61600))
-    dull = F.pmod(i, F.lit(400)).between(200, 239)
-    k = F.sequence(F.lit(0).cast("long"), F.lit(3999).cast("long"))
-    hold = F.when(dull, F.lit(32)).otherwise(F.lit(1)).cast("long")
-    value = lambda x: (F.pmod((F.col("o_orderkey") * 4000 + x - F.pmod(x, hold)) * 48271, F.lit(65537)) % 8001 - 4000).cast("short")
-    return o.select(F.expr("o_orderkey div 61600").alias("rec_id"), i.alias("i"), F.transform(k, value).alias("samples"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.expr("o_orderkey div 61600").alias("rec_id"), F.pmod("o_orderkey", F.lit(61600)).alias("i"))
+    # The file is one split; its rows become 8 kB each, so they are spread first.
+    return o.repartition(64).mapInPandas(_noise, "rec_id long, i long, samples array<short>")
 
 
 @query("signal_trace_and_drops")

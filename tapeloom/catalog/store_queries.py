@@ -169,14 +169,13 @@ def identity_key_query(spark, sf):
 def read_resumable_jsonl(spark, sf):
     """Conversations as JSON lines in many files, each with a torn last line."""
     path = tempfile.mkdtemp(prefix="spark-jsonl-", dir="/tmp")
-    c = table(spark, sf, "conversations").repartition(4, "conv_id")
-    line = F.to_json(F.struct("conv_id", "turn", "text"))
-    whole = c.select(F.struct(F.spark_partition_id().alias("part"), F.lit(0).alias("torn"), "conv_id", "turn").alias("at"), line.alias("value"))
-    torn = whole.groupBy("at.part").agg(F.min("value").alias("value")).select(
-        F.struct("part", F.lit(1).alias("torn"), F.lit(0).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn")).alias("at"), F.expr("substring(value, 1, 20)").alias("value")
+    c = table(spark, sf, "conversations").withColumn("part", F.pmod("conv_id", F.lit(4)))
+    whole = c.select("part", F.lit(0).alias("torn"), "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "text")).alias("value"))
+    torn = whole.groupBy("part").agg(F.min("value").alias("value")).select(
+        "part", F.lit(1).alias("torn"), F.lit(0).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.expr("substring(value, 1, 20)").alias("value")
     )
-    rows = whole.unionByName(torn).repartition(4, "at.part").sortWithinPartitions("at")
-    rows.groupBy("at.part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("value")).select("value").write.mode("overwrite").text(path)
+    rows = whole.unionByName(torn).repartition(4, "part").sortWithinPartitions("part", "torn", "conv_id", "turn")
+    rows.select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
     got = readers.read_resumable_jsonl(spark, path, "conv_id long, turn long, text string")
     return got.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 

@@ -79,20 +79,21 @@ def cosine_scores(vectors: DataFrame, prompts: DataFrame, cap: int = 4096) -> Da
         at = part[-1]["idx"]
         if len(part) < cap:
             break
-    out = vectors
-    names = []
-    for number, matrix in enumerate(blocks):
-        name = f"_v{number}"
-        names.append(name)
-
-        @F.pandas_udf("array<double>")
-        def against(column: pd.Series, _m=matrix) -> pd.Series:
-            x = np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, _m.shape[1]))
-            return pd.Series(list(x @ _m.T))
-
-        out = out.withColumn(name, against(F.col("embedding")))
-    values = F.concat(*names) if len(names) > 1 else F.col(names[0])
-    return out.withColumn("values", values).drop(*names)
+    out = vectors.withColumns({f"_v{i}": _against(matrix)(F.col("embedding")) for i, matrix in enumerate(blocks)})
+    names = [f"_v{i}" for i in range(len(blocks))]
+    return out.withColumn("values", F.concat(*names)).drop(*names)
+
+
+def _against(matrix: np.ndarray):
+    """Arrow function: dot products of a batch of vectors with one block of prompts."""
+
+    @F.pandas_udf("array<double>")
+    def score(column: pd.Series) -> pd.Series:
+        if not len(column):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.stack([np.asarray(v, np.float64) for v in column]) @ matrix.T))
+
+    return score
 
 
 def probabilities(logits: Column, labels: Sequence[str]) -> Column:
