@@ -188,8 +188,7 @@ _TIMES = "SELECT DISTINCT o_orderkey % (SELECT count(*) FROM supplier) AS rec_id
     ),
 )
 def plan_quiet_cut(spark, sf):
-    count = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("c"))
-    o = table(spark, sf, "orders").crossJoin(F.broadcast(count))
+    o = table(spark, sf, "orders").withColumn("c", F.lit(table(spark, sf, "supplier").count()))
     side = F.explode(F.array(F.lit("start"), F.lit("end")))
     times = o.select(F.pmod("o_orderkey", F.col("c")).alias("rec_id"), (F.pmod("o_custkey", F.lit(600)) * 0.4).alias("time"), side.alias("side")).distinct()
     edges = times.join(_facts(spark, sf), "rec_id")
@@ -360,14 +359,14 @@ def _noise(batches):
         order, i = batch["o_orderkey"].to_numpy(), batch["i"].to_numpy()
         dull = ((i % 400 >= 200) & (i % 400 < 240))[:, None]
         at = order[:, None] * 4000 + np.where(dull, place - place % 32, place)
-        samples = (at * 48271 % 65537 % 8001 - 4000).astype(np.int16)
-        yield pd.DataFrame({"rec_id": batch["rec_id"], "i": i, "samples": list(samples)})
+        samples = (at * 48271 % 65537 % 8001 - 4000).astype("<i2")
+        yield pd.DataFrame({"rec_id": batch["rec_id"], "i": i, "samples": [x.tobytes() for x in samples]})
 
 
 def noise_blocks(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.expr("o_orderkey div 61600").alias("rec_id"), F.pmod("o_orderkey", F.lit(61600)).alias("i"))
     # The file is one split; its rows become 8 kB each, so they are spread first.
-    return o.repartition(64).mapInPandas(_noise, "rec_id long, i long, samples array<short>")
+    return o.repartition(64).mapInPandas(_noise, "rec_id long, i long, samples binary")
 
 
 @query("signal_trace_and_drops")

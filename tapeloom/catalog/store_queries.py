@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import identity_key
@@ -85,10 +84,10 @@ def score_cosine(spark, sf):
     e = table(spark, sf, "embeddings")
     prompts = materialize(e.groupBy(F.col("label").alias("idx")).agg(F.min_by("embedding", "vec_id").alias("embedding")))
     rows = sc.cosine_scores(e.select("vec_id", "embedding"), prompts, cap=4)
+    # The prompts are the labels of the model, a short fixed list.
+    order = F.array(*[F.lit(r["idx"]).cast("long") for r in prompts.select("idx").orderBy("idx").collect()])
     numbered = rows.select("vec_id", F.posexplode("values").alias("pos", "v"))
-    labels = prompts.select("idx")
-    place = labels.select("idx", (F.row_number().over(Window.orderBy("idx")) - 1).alias("pos"))
-    return numbered.join(F.broadcast(place), "pos").select("vec_id", F.col("idx").cast("long").alias("idx"), F.round(F.col("v") * 1000000).cast("long").alias("score"))
+    return numbered.select("vec_id", F.get(order, "pos").alias("idx"), F.round(F.col("v") * 1000000).cast("long").alias("score"))
 
 
 @query(
@@ -180,6 +179,49 @@ def read_resumable_jsonl(spark, sf):
     return got.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
+@query(
+    "read_scores",
+    "SELECT vec_id // 50 AS rec, CAST((vec_id % 50) * 2 AS BIGINT) AS start, CAST(round(greatest(embedding[1], 0) * 1000000) AS BIGINT) AS mouth FROM embeddings",
+)
+def read_scores(spark, sf):
+    """Score documents, one per recording, written as JSON and read back."""
+    path = tempfile.mkdtemp(prefix="spark-scores-", dir="/tmp")
+    v = vectors(spark, sf)
+    row = F.struct("start", "end", F.create_map(F.lit("mouth"), F.greatest(F.get("embedding", F.lit(0)), F.lit(0.0))).alias("semantic"))
+    docs = v.groupBy("rec_id").agg(F.collect_list(row).alias("rows"))
+    text = F.to_json(F.struct(F.col("rec_id").cast("string").alias("description"), "rows"))
+    docs.select("rec_id", text.alias("value")).repartition("rec_id").write.mode("overwrite").partitionBy("rec_id").text(path)
+    got = readers.read_scores(spark, path, keep=["rec_id"])
+    return got.select(
+        F.col("rec_id").cast("long").alias("rec"), F.col("start").cast("long").alias("start"), F.round(F.col("semantic")["mouth"] * 1000000).cast("long").alias("mouth")
+    )
+
+
+@query(
+    "report_overwrite_partitions",
+    with_views("SELECT rec_id, id, CASE WHEN CAST(split_part(rec_id, '-', 3) AS INTEGER) % 2 = 0 THEN 'second' ELSE 'first' END AS run FROM spans", "spans"),
+)
+def report_overwrite_partitions(spark, sf):
+    """A second run replaces the days it holds and leaves the others."""
+    path = tempfile.mkdtemp(prefix="spark-parts-", dir="/tmp")
+    s = spans(spark, sf).select("rec_id", "id")
+    reports.overwrite_partitions(s.withColumn("run", F.lit("first")), path)
+    reports.overwrite_partitions(s.where(F.dayofmonth(F.to_date("rec_id")) % 2 == 0).withColumn("run", F.lit("second")), path)
+    return spark.read.schema("id long, run string, rec_id string").parquet(path).select("rec_id", "id", "run")
+
+
+@query("report_chapters", with_views("SELECT rec_id, count(*) AS lines FROM spans WHERE category = 'click' GROUP BY rec_id", "spans"))
+def report_chapters(spark, sf):
+    """Chapter lines of every day, written as text and counted again."""
+    path = tempfile.mkdtemp(prefix="spark-chapters-", dir="/tmp")
+    rows = spans(spark, sf).where("category = 'click'").select(
+        "rec_id", F.col("id").alias("index"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), F.lit("tapping").alias("category"),
+        F.array().cast("array<string>").alias("alternatives"), F.lit(0).cast("long").alias("review_findings"),
+    )
+    reports.write_chapters(rows, path)
+    return spark.read.schema("value string, rec_id string").text(f"{path}/text").groupBy("rec_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("read_unfinished_chunks", with_views("SELECT rec_id, id FROM spans WHERE id % 3 != 0", "spans"))
 def read_unfinished_chunks(spark, sf):
     s = spans(spark, sf).select("rec_id", "id")
@@ -247,21 +289,18 @@ _OPEN = "SELECT rec_id, g, min(i) AS s, max(i) + 1 AS e, max(n) AS n FROM (SELEC
     "stream_quiet_runs",
     with_views(
         'SELECT rec_id, s AS start, e AS "end" FROM r WHERE e < n',
-        f="SELECT event_type AS rec_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, value < 10 AS q FROM events",
+        f="SELECT CAST(event_id // 500 AS VARCHAR) AS rec_id, event_id % 500 AS i, value < 10 AS q FROM events",
         r=_OPEN,
     ),
 )
 def stream_quiet_runs(spark, sf):
     """Runs closed by a later frame; the open last run of a recording waits for its timeout."""
-    e = table(spark, sf, "events")
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    folder = tempfile.mkdtemp(prefix="spark-frames-", dir="/tmp")
-    rows = e.select(
-        F.col("event_type").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), (F.row_number().over(w) - 1).cast("long").alias("frame_idx"), (F.col("value") < 10).alias("quiet")
+    e = _stream(spark, sf, "events")
+    frames = e.select(
+        F.expr("event_id div 500").cast("string").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.pmod("event_id", F.lit(500)).alias("frame_idx"), (F.col("value") < 10).alias("quiet"),
     )
-    rows.write.mode("overwrite").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).parquet(folder)
-    return _drain(st.stream_quiet_runs(stream, flush_ms=10**12))
+    return _drain(st.stream_quiet_runs(frames, flush_ms=10**12))
 
 
 @query(

@@ -28,8 +28,7 @@ N = "(SELECT count(*) FROM supplier)"
 
 
 def findings(spark, sf):
-    n = table(spark, sf, "supplier").groupBy().agg(F.count(F.lit(1)).alias("n"))
-    o = table(spark, sf, "orders").crossJoin(F.broadcast(n))
+    o = table(spark, sf, "orders").withColumn("n", F.lit(table(spark, sf, "supplier").count()))
     at = F.pmod("o_custkey", F.lit(300)) * 0.5
     return o.select(
         F.pmod("o_orderkey", F.col("n")).alias("rec_id"),
@@ -389,8 +388,8 @@ _CHAPTERS = dict(
 def _chapters(spark, sf):
     from .fixtures import vectors
 
-    n = vectors(spark, sf).agg(F.countDistinct("rec_id").alias("n"))
-    o = table(spark, sf, "orders").where(F.pmod("o_orderkey", F.lit(97)) == 0).crossJoin(F.broadcast(n))
+    n = vectors(spark, sf).select("rec_id").distinct().count()
+    o = table(spark, sf, "orders").where(F.pmod("o_orderkey", F.lit(97)) == 0).withColumn("n", F.lit(n))
     at = F.pmod("o_custkey", F.lit(300)) * 0.5
     f = o.select(F.pmod("o_orderkey", F.col("n")).alias("rec_id"), at.alias("start"), (at + F.pmod("o_orderkey", F.lit(9)) * 0.25).alias("end"))
     return ch.chapters(menu_windows(spark, sf), f, chunk=20.0)

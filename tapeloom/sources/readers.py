@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,15 +40,19 @@ def read_resumable_jsonl(spark: SparkSession, path: str, schema: T.StructType |
 SCORE_ROW = "start double, end double, quiet boolean, top map<string,double>, semantic map<string,double>"
 
 
-def read_scores(spark: SparkSession, path: str, row: str = SCORE_ROW, wrapped: bool = True) -> DataFrame:
+def read_scores(
+    spark: SparkSession, path: str, row: str = SCORE_ROW, wrapped: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
     """Window scores from JSON documents: ``{description, rows: [...]}`` or plain arrays.
 
-    Extra score fields are named in ``row``; label maps stay open maps.
+    Extra score fields are named in ``row``; label maps stay open maps.  ``keep``
+    names partition columns of the path.
     """
+    extra = "".join(f", `{k}` string" for k in keep)
     if not wrapped:
-        return spark.read.schema(row).json(path, multiLine=True)
-    whole = spark.read.schema(f"description string, rows array<struct<{_fields(row)}>>").json(path, multiLine=True)
-    return whole.select(F.explode("rows").alias("_r")).select("_r.*")
+        return spark.read.schema(row + extra).json(path, multiLine=True)
+    whole = spark.read.schema(f"description string, rows array<struct<{_fields(row)}>>{extra}").json(path, multiLine=True)
+    return whole.select(*keep, F.explode("rows").alias("_r")).select(*keep, "_r.*")
 
 
 def _fields(row: str) -> str:
