@@ -15,7 +15,7 @@ from ..plans import planning as pl
 from ..plans import policy as po
 from ..plans import review as rv
 from ..session import materialize
-from .evidence_queries import micros
+from .evidence_queries import micros, sql_runs
 from .fixtures import (
     HOP_CHUNK, US_CHUNK, days, described, hop_recordings, levels, shipped, spans, sql_gaps, sql_merge, sql_us, table, us, vectors,
     with_views,
@@ -23,6 +23,7 @@ from .fixtures import (
 from .frame_queries import _KEEPS, keeps
 from .grid_queries import SECONDS as SEC
 from .grid_queries import seconds
+from .label_queries import CALM_W, semantic_positive_sql
 from .registry import query
 
 OUT = f'SELECT rec_id, {sql_us("s")} AS start, {sql_us("e")} AS "end" FROM '
@@ -298,7 +299,13 @@ def plan_summary(spark, sf):
     return rows.select("rec_id", "segments", us(F.col("duration")).alias("duration"), "voice", "tapping")
 
 
-@query("plan_review_loop")
+@query(
+    "plan_review_loop",
+    with_views(
+        "SELECT DISTINCT rec_id, CASE WHEN rec_id % 4 = 3 THEN 'needs_review' ELSE 'passed' END AS status, least(rec_id % 4 + 1, 3) AS passes FROM shipped",
+        "shipped",
+    ),
+)
 def plan_review_loop(spark, sf):
     """Replan after findings; the reviewer flags fixed output times on the first passes."""
     recs = _facts(spark, sf)
@@ -411,7 +418,37 @@ def sequence_review_transitions(spark, sf):
     return micros(decided, "decision", "reason")
 
 
-@query("sequence_confirm_regions")
+_POS = f"coalesce({semantic_positive_sql(0.17, 0.005)}, FALSE)"
+_CONFIRM = dict(
+    w=CALM_W,
+    tbl="SELECT * REPLACE (least(s + 10, 104.0::DOUBLE) AS e) FROM w",
+    mu="SELECT rec_id, s, e FROM w WHERE vec_id % 47 = 3",
+    m=sql_merge("mu"),
+    u="SELECT rec_id, 0.0::DOUBLE AS lo, d AS hi FROM hop_recordings",
+    free=sql_gaps("m", "u"),
+    hop="SELECT rec_id, a AS s, least(a + 10, e) AS e FROM (SELECT *, s + 5.0::DOUBLE * unnest(generate_series(0, CAST(ceil((e - s) / 5.0::DOUBLE) AS BIGINT) - 1)) AS a FROM free) WHERE e - a >= 3",
+    rows_="SELECT hop.rec_id, hop.s, hop.e, tbl.* EXCLUDE (rec_id, s, e) FROM hop LEFT JOIN tbl ON tbl.rec_id = hop.rec_id AND tbl.s = hop.s AND tbl.e = hop.e",
+    runs=sql_runs("rows_", _POS, "s > pe + 0.000001"),
+    reg="SELECT rec_id, min_by(s + least(2.5, (e - s) / 4), s) AS s, max_by(e - least(2.5, (e - s) / 4), s) AS e FROM runs GROUP BY rec_id, run "
+    f"HAVING count(*) >= 2 AND count(*) FILTER ({semantic_positive_sql(0.20, 0.025)}) >= 2",
+    good="SELECT * FROM reg UNION ALL SELECT rec_id, s, e FROM w WHERE vec_id % 31 = 3",
+    mg=sql_merge("good"),
+    bad="SELECT rec_id, s, e FROM w WHERE vec_id % 19 = 3 OR vec_id % 47 = 3",
+    mb=sql_merge("bad"),
+    u2="SELECT rec_id, -1.0::DOUBLE AS lo, 1000000.0::DOUBLE AS hi FROM hop_recordings",
+    gb=sql_gaps("mb", "u2"),
+)
+
+
+@query(
+    "sequence_confirm_regions",
+    with_views(
+        f'SELECT g.rec_id, {sql_us("greatest(g.s, b.s)")} AS start, {sql_us("least(g.e, b.e)")} AS "end" FROM mg g JOIN gb b ON b.rec_id = g.rec_id AND g.s < b.e AND b.s < g.e',
+        "vectors",
+        "hop_recordings",
+        **_CONFIRM,
+    ),
+)
 def sequence_confirm_regions(spark, sf):
     from .label_queries import calm
 

@@ -162,4 +162,3 @@ DRINK_PATTERN = (
 # Language names reported by one transcriber -> codes.
 LANGUAGE_CODES = {"Korean": "ko", "Japanese": "ja", "Chinese": "zh", "English": "en"}
 ALIGNED_BACKEND = "qwen3-asr"
-VERIFIED_REVIEW_MODEL = "Qwen3-ASR-1.7B"
