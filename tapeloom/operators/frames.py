@@ -154,18 +154,21 @@ def _joined(clock: DataFrame, quiet: DataFrame, by, chunk) -> DataFrame:
 
 
 def trim_quiet(
-    keeps: DataFrame, quiet: DataFrame, budget: Column, integer: bool = False, by: Sequence[str] = BY, chunk=600.0
+    keeps: DataFrame, quiet: DataFrame, budget: Column, integer: bool = False, by: Sequence[str] = BY, chunk=600.0,
+    stored: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Cut the middle out of every joined quiet span longer than ``budget``.
 
     ``budget`` is a column of ``keeps`` that is constant per recording, or a
     literal.  Returns the kept and the removed intervals on the source clock,
     each with the start of its keep as ``unit``.  Inputs, the joined clock and
-    the cuts are stored, because the steps below read each of them repeatedly.
+    the cuts are stored, because the steps below read each of them repeatedly;
+    pass ``stored`` when the inputs already are tables.
     """
     by = list(by)
-    keeps = materialize(keeps.select(*by, "start", "end", budget.alias("_b")))
-    quiet = materialize(quiet.select(*by, "start", "end"))
+    keeps, quiet = keeps.select(*by, "start", "end", budget.alias("_b")), quiet.select(*by, "start", "end")
+    if not stored:
+        keeps, quiet = materialize(keeps), materialize(quiet)
     clock = materialize(output_clock(keeps.select(*by, "start", "end"), by, chunk))
     limits = keeps.groupBy(*by).agg(F.max("_b").alias("_b"))
     long = _joined(clock, quiet, by, chunk).join(limits, by).where(F.col("end") - F.col("start") > F.col("_b") + 1e-8)

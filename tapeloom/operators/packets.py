@@ -99,8 +99,9 @@ def limit_groups(
     removes at least one group of every recording that stays.
     """
     by = list(by)
+    aligned, quiet = materialize(aligned), materialize(quiet.select(*by, "start", "end"))
     spans = aligned.select(*by, F.col("analysis_start").alias("start"), F.col("analysis_end").alias("end"))
-    _, excess = fr.trim_quiet(spans, quiet, F.lit(float(budget)), False, by, chunk)
+    _, excess = fr.trim_quiet(spans, quiet, F.lit(float(budget)), False, by, chunk, stored=True)
     touched = materialize(excess.select(*by).distinct())
     done = aligned.join(touched, by, "left_anti").select(*by, "source_start", "source_end", "first", "stop", "analysis_start", "analysis_end")
     open_ = aligned.join(touched, by, "left_semi")
@@ -127,7 +128,7 @@ def limit_groups(
     pieces = materialize(pieces)
     settled = []
     for _ in range(max_rounds):
-        _, removed = fr.trim_quiet(pieces.select(*by, "start", "end"), quiet, F.lit(float(budget)), False, by, chunk)
+        _, removed = fr.trim_quiet(pieces.select(*by, "start", "end"), quiet, F.lit(float(budget)), False, by, chunk, stored=True)
         removed = materialize(removed.select(*by, "start", "end"))
         still = removed.select(*by).distinct()
         settled.append(pieces.join(still, by, "left_anti"))

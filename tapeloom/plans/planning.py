@@ -375,15 +375,15 @@ def accept_units(
     facts = recordings.select(*by, "dt").join(
         policy.select(*by, "silence_db", "max_pause_seconds", "join_fade_seconds", "join_fade_enabled"), by
     )
-    budget = facts.select(*by, fr.frame_budget(facts).alias("_budget"))
+    budget = materialize(facts.select(*by, fr.frame_budget(facts).alias("_budget")))
     rows = levels.join(facts.select(*by, "silence_db"), by)
     # Frames of one recording share its threshold; equal thresholds share the key below.
     quiet = fr.quiet_spans(rows, F.col("silence_db"), by, block)
     quiet = materialize(quiet)
     own = materialize(units.select(*by, *SPAN).withColumn("_u", F.col("start")))
-    inside = iv.intersect(quiet, own, by, block).select(*by, F.col("r._u").alias("_u"), *SPAN)
+    inside = materialize(iv.intersect(quiet, own, by, block).select(*by, F.col("r._u").alias("_u"), *SPAN))
     ids = [*by, "_u"]
-    kept, gone = fr.trim_quiet(own.join(budget, by), inside, F.col("_budget"), True, ids, block)
+    kept, gone = fr.trim_quiet(own.join(budget, by), inside, F.col("_budget"), True, ids, block, stored=True)
     kept = materialize(kept)
     loud = rows.where(F.col("db") > F.col("silence_db") + 6).select(*by, "frame_idx")
     from ..operators.joins import covering
@@ -395,7 +395,7 @@ def accept_units(
     good = good.where((F.col("_active") * F.col("dt") >= 2) & (F.col("_active") / F.greatest(F.col("_length"), F.lit(1)) >= 0.25)).select(*ids)
     good = materialize(good)
     joined = materialize(iv.merge(kept.join(good, ids, "left_semi").select(*by, *SPAN), 0, by, block))
-    final, across = fr.trim_quiet(joined.join(budget, by), quiet, F.col("_budget"), True, by, block)
+    final, across = fr.trim_quiet(joined.join(budget, by), quiet, F.col("_budget"), True, by, block, stored=True)
     # The first trim names its keep as unit as well, so only times are compared.
     first = gone.join(good, ids, "left_semi").select(*by, *SPAN)
     silence = iv.merge(first.unionByName(across.select(*by, *SPAN)), 0, by, block)

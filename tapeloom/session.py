@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,23 +24,29 @@ def local_session(cpus: int | str = 8, name: str = "tapeloom", shuffle: int = 8)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage: store a table in the shared checkpoint folder and read it back.
 
-    Multi-stage operators read one intermediate table several times.  A reliable
-    checkpoint makes that a file scan and survives the loss of executors.  The
-    folder is the one named by ``spark.checkpoint.dir``; only where nothing is
-    configured (tests on one machine) a temporary folder is used.
+    Multi-stage operators read one intermediate table several times.  Stored as
+    Parquet it is a pruned, columnar file scan with known size, and it survives
+    the loss of executors.  The folder is the one named by
+    ``spark.checkpoint.dir``; only where nothing is configured (tests on one
+    machine) a temporary folder is used.
     """
     spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/tapeloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-            folder = tempfile.mkdtemp(prefix="tapeloom-checkpoint-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tapeloom-checkpoint-", dir="/tmp"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def attach(df: DataFrame, dims: DataFrame, by, spread, salts: int = 16, how: str = "inner") -> DataFrame:
