@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import divergence, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,51 @@ def query(name: str, sql: str | None = None):
 def op1(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The same rules as set operations over words, windows and lines.
+_OP10 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+ln AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines
+       FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c
+        FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c > 1) GROUP BY r),
+chars AS (SELECT r, [length(regexp_replace(t, '[^a-z]+', '', 'g')), length(regexp_replace(t, '[^A-Z]+', '', 'g')),
+                     length(regexp_replace(t, '[^0-9]+', '', 'g')), length(regexp_replace(t, '[^.,;:!?''"()-]+', '', 'g')),
+                     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))] AS k,
+                 length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars FROM d),
+base AS (SELECT w.r, doc_id, lang, w, len(w) AS n_words, word_chars, k[5] AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, list_append(k, word_chars - list_sum(k)) AS k
+         FROM w JOIN chars USING (r) LEFT JOIN ln USING (r) LEFT JOIN rep USING (r)),
+word AS (SELECT r, lang, unnest(w) AS x FROM w),
+top AS (SELECT lang, x, c, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS bin
+        FROM (SELECT lang, x, count(*) AS c FROM word WHERE regexp_full_match(x, '\\p{L}+') GROUP BY lang, x) QUALIFY bin <= 24),
+total AS (SELECT lang, sum(n_words) AS n, sum(k[1]) AS k1, sum(k[2]) AS k2, sum(k[3]) AS k3, sum(k[4]) AS k4,
+                 sum(k[5]) AS k5, sum(k[6]) AS k6 FROM base GROUP BY lang),
+shares AS (SELECT lang, n, [k1, k2, k3, k4, k5, k6] AS ks, greatest(k1 + k2 + k3 + k4 + k5 + k6, 1) AS chars FROM total),
+cls AS (SELECT r, i, b.k[i] / greatest(b.word_chars, 1)::DOUBLE AS p, s.ks[i] / s.chars::DOUBLE AS q
+        FROM base b JOIN shares s ON b.lang IS NOT DISTINCT FROM s.lang, (SELECT unnest(range(1, 7)) AS i)),
+hit AS (SELECT r, bin, count(*) AS c FROM word JOIN top ON word.lang IS NOT DISTINCT FROM top.lang AND word.x = top.x GROUP BY r, bin),
+bins AS (SELECT b.r, t.bin, coalesce(h.c, 0) / b.n_words::DOUBLE AS p, t.c / s.n::DOUBLE AS q
+         FROM base b JOIN shares s ON b.lang IS NOT DISTINCT FROM s.lang JOIN top t ON b.lang IS NOT DISTINCT FROM t.lang
+         LEFT JOIN hit h ON h.r = b.r AND h.bin = t.bin WHERE b.n_words > 0),
+wrd AS (SELECT r, p, q FROM bins UNION ALL SELECT r, greatest(1 - sum(p), 0), greatest(1 - sum(q), 0) FROM bins GROUP BY r),
+js AS (SELECT 'c' AS kind, r, p, q FROM cls UNION ALL SELECT 'w', r, p, q FROM wrd),
+far AS (SELECT r, sqrt(greatest(sum(CASE WHEN kind = 'c' THEN v ELSE 0 END), 0)) AS dc, sqrt(greatest(sum(CASE WHEN kind = 'w' THEN v ELSE 0 END), 0)) AS dw
+        FROM (SELECT kind, r, (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS v FROM js)
+        GROUP BY r),
+ready AS (SELECT b.*, b.n_words < 50 OR 100 * b.n_repeat_words > 50 * b.n_words AS base_failed, dc, dw,
+                 s.n < 1000 OR NOT EXISTS (SELECT 1 FROM top t WHERE t.lang IS NOT DISTINCT FROM b.lang) AS guarded
+          FROM base b JOIN shares s ON b.lang IS NOT DISTINCT FROM s.lang LEFT JOIN far f ON f.r = b.r)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND (guarded OR (dc <= 0.16 + 1.2 / sqrt(n_words) AND dw <= 0.18 + 1.3 / sqrt(n_words))) AS kept
+FROM ready
+"""
+
+
+@query("op10_distribution_divergence", _OP10)
+def op10(spark, sf_dir):
+    return divergence.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
