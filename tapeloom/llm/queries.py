@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, simhash
+from . import divergence, hilbert, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ FROM ready
 @query("op10_distribution_divergence", _OP10)
 def op10(spark, sf_dir):
     return divergence.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+@query("op2_hilbert_shards")
+def op2(spark, sf_dir):
+    return hilbert.shards(table(spark, sf_dir, "documents"))
