@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Longer texts are cut into words piece by piece, so that a task never holds all of them as objects.
 PIECE = 1 << 21
@@ -54,6 +56,8 @@ def word_count(text: Column) -> Column:
 def spread_offsets(df: DataFrame, by: list[str], order: list[Column], size: Column, salts: int) -> DataFrame:
     """Adds ``_start``: the summed ``size`` of the rows before a row in its group, no group in one task.
 
+    The columns of ``by`` must not be null.
+
     The order of a group is (bucket, order), where the bucket is a hash of the
     order.  Sums of the buckets give the start of each; only rows of one bucket
     are put in order by one task.
@@ -64,9 +68,24 @@ def spread_offsets(df: DataFrame, by: list[str], order: list[Column], size: Colu
     starts = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = bucketed.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    match = [placed[c].eqNullSafe(starts[c]) for c in [*by, "_bucket"]]
-    joined = placed.join(starts, match, "inner").select(*[placed[c] for c in df.columns], (F.col("_inside") + F.col("_first")).alias("_start"))
-    return joined
+    joined = placed.join(starts, [*by, "_bucket"])
+    return joined.select(*df.columns, (F.col("_inside") + F.col("_first")).alias("_start"))
+
+
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``_rank`` from 0 in the order of the columns; range-partitioned, so no task sees all rows.
+
+    Rows that are equal in all of ``order`` are ranked in any order.  The sorted rows
+    are stored: a lost executor can't change the place of rows already counted.
+    """
+    dealt = df.repartitionByRange(shuffle_partitions(df), *order).sortWithinPartitions(*order)
+    stored = materialize(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = materialize(counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first")))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.withColumn("_part", part).join(starts, "_part").withColumn("_rank", inside + F.col("_first")).drop("_id", "_part", "_first")
 
 
 def hook(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.session import materialize
 
-from .common import shuffle_partitions
+from .common import ranked
 
 BITS = 5
 
@@ -58,22 +58,6 @@ def hilbert_index(coordinates: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, plane)["index"]
 
 
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``_rank`` from 0 in the order of the columns; range-partitioned, so no task sees all rows.
-
-    Rows that are equal in all of ``order`` are ranked in any order.  The sorted rows
-    are stored: a lost executor can't change the place of rows already counted.
-    """
-    dealt = df.repartitionByRange(shuffle_partitions(df), *order).sortWithinPartitions(*order)
-    stored = materialize(dealt.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = materialize(counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first")))
-    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.withColumn("_part", part).join(starts, "_part").withColumn("_rank", inside + F.col("_first")).drop("_id", "_part", "_first")
-
-
 def _ordinal(rows: DataFrame, name: str, bits: int) -> DataFrame:
     """Adds the coordinate of a text column: the rank of its value among all values, nulls first."""
     values = ranked(rows.groupBy(name).agg(F.count("*").alias("_n")), [name])

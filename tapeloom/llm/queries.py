@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hilbert, simhash
+from . import divergence, hilbert, mixing, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op10(spark, sf_dir):
 @query("op2_hilbert_shards")
 def op2(spark, sf_dir):
     return hilbert.shards(table(spark, sf_dir, "documents"))
+
+
+@query("op4_mix_blocks")
+def op4(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
