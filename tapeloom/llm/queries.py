@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hilbert, mixing, simhash
+from . import divergence, hilbert, mixing, packing, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op2(spark, sf_dir):
 @query("op4_mix_blocks")
 def op4(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_length_buckets")
+def op6(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
