@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hilbert, mixing, packing, simhash
+from . import divergence, hilbert, hmm, mixing, packing, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op4(spark, sf_dir):
 @query("op6_length_buckets")
 def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op7_hidden_markov")
+def op7(spark, sf_dir):
+    return hmm.language_model(table(spark, sf_dir, "documents"))
