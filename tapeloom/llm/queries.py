@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hilbert, hmm, mixing, packing, simhash
+from . import divergence, hilbert, hmm, mixing, packing, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op6(spark, sf_dir):
 @query("op7_hidden_markov")
 def op7(spark, sf_dir):
     return hmm.language_model(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ordinal_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
