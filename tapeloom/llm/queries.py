@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hilbert, hmm, mixing, packing, simhash, toxicity
+from . import divergence, hilbert, hmm, langid, mixing, packing, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op7(spark, sf_dir):
 @query("op5_ordinal_toxicity")
 def op5(spark, sf_dir):
     return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_ngram_languages")
+def op8(spark, sf_dir):
+    return langid.languages(table(spark, sf_dir, "documents"))
