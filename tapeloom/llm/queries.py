@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hilbert, hmm, langid, mixing, packing, simhash, toxicity
+from . import divergence, hilbert, hmm, langid, mixing, packing, simhash, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,22 @@ def op5(spark, sf_dir):
 @query("op8_ngram_languages")
 def op8(spark, sf_dir):
     return langid.languages(table(spark, sf_dir, "documents"))
+
+
+_OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.x::DOUBLE[], v.x::DOUBLE[]) DESC, v.vec_id)::INTEGER AS rank,
+       v.vec_id, list_dot_product(q.x::DOUBLE[], v.x::DOUBLE[])::BIGINT AS score
+FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20
+"""
+
+
+@query("op3_impact_ordered_top_k", _OP3)
+def op3(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_url_models")
+def op9(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
