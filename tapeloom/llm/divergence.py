@@ -47,16 +47,16 @@ def _classes(text: Column, word_chars: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the words ``_w``, ``_classes`` and the base counts of whole texts; null texts have no words."""
+    """``_row``, lang, the words ``_w``, ``_classes`` and the base counts of whole texts; null texts have no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.select("doc_id", "lang", text.alias("_t"), _words(F.col("text")).alias("_w"))
+    step = docs.select("_row", "lang", text.alias("_t"), _words(F.col("text")).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     windows = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)))
     step = step.select("*", lines.alias("_lines"), windows.alias("_h"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"))
     again = F.size("_h") > F.size(F.array_distinct("_h"))
     placed = F.when(again, F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     step = step.select(
-        "doc_id", "lang", "_w", "word_chars", placed.alias("_s"), _classes(F.col("_t"), F.col("word_chars")).alias("_classes"),
+        "_row", "lang", "_w", "word_chars", placed.alias("_s"), _classes(F.col("_t"), F.col("word_chars")).alias("_classes"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
     same = F.filter("_s", lambda e, k: (F.get("_s", k - 1)["h"] == e["h"]) | (F.get("_s", k + 1)["h"] == e["h"]))
@@ -65,7 +65,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.transform("_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_at", k + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
     return step.select(
-        "doc_id", "lang", "_w", "_classes", F.size("_w").cast("long").alias("n_words"), "word_chars",
+        "_row", "lang", "_w", "_classes", F.size("_w").cast("long").alias("n_words"), "word_chars",
         F.get("_classes", F.lit(4)).cast("long").alias("n_symbols"), "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
 
@@ -107,18 +107,17 @@ def _with_rest(shares: Column) -> Column:
     return F.concat(shares, F.array(F.greatest(rest, F.lit(0.0))))
 
 
-def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def judge(docs: DataFrame, limits: Limits = Limits(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Base counts, both distances and the verdict of every document.
 
-    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    Columns: those of ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept.  Null and blank texts have
     zero counts and fail the base rules.  A null language has its own reference.
     Distances are null where the guards leave a text out.  Repeated rows come back
     as often; an empty table gives no rows.
     """
-    slim = docs.select("doc_id", "text", "lang")
-    ref = materialize(references(slim, limits))
-    rows = measured(slim)
+    ref = materialize(references(docs.select("text", "lang"), limits))
+    rows = measured(docs.select(F.struct(*keep).alias("_row"), "text", "lang"))
     rows = rows.join(ref, rows["lang"].eqNullSafe(ref["ref_lang"]), "left")
     bins = F.array_remove(F.transform("_w", lambda x: F.coalesce(F.try_element_at("ref_words", x), F.lit(0))), 0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -129,7 +128,15 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = rows.withColumn("word_distance", F.when(~guarded, distance(_with_rest(shares), _with_rest(F.col("ref_shares")))))
     rows = rows.withColumn("class_distance", F.when(~guarded, distance(F.transform("_classes", lambda x: x / chars), F.col("ref_classes"))))
     near = (F.col("class_distance") <= limits.class_far + limits.class_slack / F.sqrt(n)) & (F.col("word_distance") <= limits.word_far + limits.word_slack / F.sqrt(n))
-    kept = ~F.col("base_failed") & F.coalesce(near, F.lit(True))
+    # The id is never negative.  It keeps a later filter by the verdict above this projection; pushed
+    # below, the filter would repeat every expression that the verdict is made of.
+    kept = ~F.col("base_failed") & F.coalesce(near, F.lit(True)) & (F.monotonically_increasing_id() >= 0)
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept")
+        "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept")
     )
+
+
+def kept(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns."""
+    whole = docs.select("text", "lang", F.struct(*docs.columns).alias("_whole"))
+    return judge(whole, limits, ("_whole",)).filter("kept").select("_whole.*")

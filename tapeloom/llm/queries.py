@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import divergence, hilbert, hmm, langid, mixing, packing, simhash, topk, toxicity, urls
 from .common import table
 
@@ -125,3 +127,8 @@ def op3(spark, sf_dir):
 @query("op9_url_models")
 def op9(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.session import materialize
@@ -30,12 +30,21 @@ FAN = 8
 QUERIES = 256
 
 
-def text_fingerprint(texts: list[bytes | None], width: int = 3) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each text; zero for a text without words."""
+def _again(h: np.ndarray, turn: int) -> np.ndarray:
+    """Another hash of what ``h`` are the hashes of; ``h`` itself at turn 0."""
+    if not turn:
+        return h
+    z = (h + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(32))
+
+
+def text_fingerprint(texts: list[bytes | None], width: int = 3, prints: int = 1) -> np.ndarray:
+    """Unsigned 64-bit SimHashes of each text, one column for each of ``prints`` hashes; zero for a text without words."""
     from xxhash import xxh64_intdigest
 
     digest = functools.partial(xxh64_intdigest, seed=42)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((len(texts), prints), dtype=np.uint64)
     hashes: list[np.ndarray] = []
     owner: list[int] = []
     held = 0
@@ -45,12 +54,13 @@ def text_fingerprint(texts: list[bytes | None], width: int = 3) -> np.ndarray:
         if not owner:
             return
         sizes = np.array([len(h) for h in hashes])
-        bits = np.unpackbits(np.concatenate(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        set_ = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        flat, starts = np.concatenate(hashes), np.cumsum(sizes) - sizes
         rows, first = np.unique(np.array(owner), return_index=True)
-        set_, sizes = np.add.reduceat(set_, first, axis=0), np.add.reduceat(sizes, first)
-        out[rows] = np.packbits(2 * set_ > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        sizes = np.add.reduceat(sizes, first)
+        for turn in range(prints):
+            bits = np.unpackbits(_again(flat, turn).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            set_ = np.add.reduceat(np.add.reduceat(bits, starts, axis=0, dtype=np.int64), first, axis=0)
+            out[rows, turn] = np.packbits(2 * set_ > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         hashes.clear()
         owner.clear()
         held = 0
@@ -73,22 +83,25 @@ def text_fingerprint(texts: list[bytes | None], width: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``fp``, the SimHash of ``width``-word shingles as a signed long.
+def fingerprints(docs: DataFrame, width: int = 3, prints: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``fp``, ``fp1``, ...: SimHashes of ``width``-word shingles as signed longs.
 
     A text that is null or blank has fingerprint zero; one with fewer words is a single shingle.
     """
 
+    names = ["fp", *(f"fp{k}" for k in range(1, prints))]
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in in_slices(batch, 2000):
-                found = text_fingerprint(part.column(len(keep)).to_pylist(), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found)], names=[*keep, "fp"])
+                found = text_fingerprint(part.column(len(keep)).to_pylist(), width, prints).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(prints)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], names=[*keep, *names])
 
     slim = docs.select(*keep, F.col("text").cast("binary").alias("text"))
-    schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in keep) + ", fp long"
+    schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in keep) + "".join(f", {c} long" for c in names)
     return slim.mapInArrow(run, schema)
 
 
@@ -207,13 +220,13 @@ def _search(rows: DataFrame, limit: int, size: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, limit: int = 3, most: int = 16384) -> DataFrame:
-    """Forest edges (a, b) between distinct fingerprints (column ``fp``) with at most ``limit`` <= 3 different bits.
+    """Forest edges (a, b) between the nodes ``fp`` of distinct bit strings ``u`` with at most ``limit`` <= 3 different bits.
 
     Cuts of more than ``most`` rows are cut again; every link is found in some cut.
     """
     if not 0 <= limit <= 3:
         raise ValueError("four blocks find at most three different bits")
-    rows, fixed, found = distinct.select("fp", F.lit(0).alias("way"), F.lit(0).alias("fixed"), F.col("fp").alias("u")), 0, []
+    rows, fixed, found = distinct.select("fp", F.lit(0).alias("way"), F.lit(0).alias("fixed"), "u"), 0, []
     for depth in range(5):
         rows = _cuts(rows, fixed) if depth == 0 else functools.reduce(DataFrame.unionByName, [_cuts(rows.filter(F.col("fixed") == f), f) for f in fixed])
         fixed = sorted({f + n for f in ([0] if depth == 0 else fixed) for _, n in _turns(f)})
@@ -250,26 +263,49 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, most: int = 16384) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, prints: int = 1, most: int = 16384) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id.
 
     ``component_id`` is the smallest doc_id that links reach, the document itself
-    included.  Equal texts share one fingerprint, which is searched once.  Blank
-    and null texts have fingerprint zero and link like any other.  Rows with a
-    null doc_id link others but never name a component (null if alone).  Repeated
-    rows come back as often.  An empty table gives no rows.
+    included.  Equal texts share one fingerprint, which is searched once.  With several
+    ``prints`` documents link if any of their fingerprints do.  Blank and null texts have
+    fingerprint zero and link like any other.  Rows with a null doc_id link others but
+    never name a component (null if alone).  Repeated rows come back as often.  An empty
+    table gives no rows.
     """
-    prints = materialize(fingerprints(docs, width))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, limit, most))
+    found = materialize(fingerprints(docs, width, prints))
+    distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    edges = links(distinct.withColumn("u", F.col("fp")), limit, most)
+    for k in range(1, prints):
+        # The first fingerprint names a text; texts that share another one link to the least of them.
+        same = materialize(found.select("fp", F.col(f"fp{k}").alias("u")).distinct())
+        least = materialize(same.groupBy("u").agg(F.min("fp").alias("least")))
+        joined = same.join(least, "u").filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+        edges = edges.unionByName(joined).unionByName(links(least.select(F.col("least").alias("fp"), "u"), limit, most))
+    roots = components(edges)
     member = roots.join(distinct, roots["node"] == distinct["fp"]).select("root", "fp", "first")
     named = member.join(member.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
     classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, one of each; a row without doc_id stays only if it is alone."""
-    marked = near_duplicates(docs, width, limit)
-    kept = marked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def keep_one(docs: DataFrame, width: int = 3, limit: int = 3, prints: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest doc_id.
+
+    Several fingerprints find near copies that one would miss.  Of rows with one doc_id the
+    first by checksum stays.  Rows without doc_id can't name a component: one of each text
+    stays, if no row with a doc_id has that text.
+    """
+    marked = materialize(near_duplicates(docs.filter("doc_id is not null"), width, limit, prints))
+    named = marked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    once = materialize(named.distinct())
+    kept = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    if once.count() < named.count():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+        kept = kept.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    check = F.xxhash64("text").alias("_h")
+    nameless = nameless.select("*", check).dropDuplicates(["_h"])
+    return kept.unionByName(nameless.join(docs.filter("doc_id is not null").select(check), "_h", "left_anti").drop("_h"))
