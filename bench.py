@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 
 from tapeloom.catalog import load
 from tapeloom.catalog.plan_queries import noise_blocks
 from tapeloom.operators.sequences import spectral_drops
 from tapeloom.operators.signal import spectral_trace
-from tapeloom.session import local_session, materialize
+from tapeloom.session import local_session, materialize, shared_path
 
 HEADLINE = [
     "kept_time", "interval_merge_gap", "interval_subtract", "interval_overlap_seconds", "interval_intersect", "grid_cut_windows",
@@ -35,7 +34,7 @@ def main() -> None:
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     # Spectral scan of stored 16 kHz sound: a quarter second per block.
-    pcm = os.path.join(tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp"), "pcm")
+    pcm = shared_path(spark, "pcm")
     noise_blocks(spark, sf).write.parquet(pcm)
     stored = spark.read.parquet(pcm)
     seconds = stored.count() / 4

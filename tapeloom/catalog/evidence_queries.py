@@ -217,11 +217,11 @@ def sql_extend(events: str, rows: str = "w") -> dict[str, str]:
     )
 
 
-_REST_W = f"SELECT * FROM ({scored_view(2.0, 2.0, _REST)}) WHERE vec_id % 3 = 0"
+_REST_W = scored_view(2.0, 2.0, _REST)
 
 
 def resting(spark, sf):
-    return described(spark, sf, 2.0, _REST).where(F.pmod("vec_id", F.lit(3)) == 0)
+    return described(spark, sf, 2.0, _REST)
 
 
 @query(
@@ -242,11 +242,11 @@ def evidence_extend_breaks(spark, sf):
 
 # Laughter and expressive voice stay strong; what grows them is scaled as above.
 _LAUGH = {n: f for n, f in _REST.items() if n not in ("soft_laugh", "loud_laugh", "laughter", "expressive")}
-_LAUGH_W = f"SELECT * FROM ({scored_view(2.0, 2.0, _LAUGH)}) WHERE vec_id % 3 = 0"
+_LAUGH_W = scored_view(2.0, 2.0, _LAUGH)
 
 
 def laughing(spark, sf):
-    return described(spark, sf, 2.0, _LAUGH).where(F.pmod("vec_id", F.lit(3)) == 0)
+    return described(spark, sf, 2.0, _LAUGH)
 
 
 def _grown(condition: str) -> dict[str, str]:

@@ -302,13 +302,13 @@ def plan_summary(spark, sf):
 @query(
     "plan_review_loop",
     with_views(
-        "SELECT DISTINCT rec_id, CASE WHEN rec_id % 4 = 3 THEN 'needs_review' ELSE 'passed' END AS status, least(rec_id % 4 + 1, 3) AS passes FROM shipped",
+        "SELECT DISTINCT rec_id, CASE WHEN rec_id % 4 > rec_id % 5 THEN 'needs_review' ELSE 'passed' END AS status, least(rec_id % 4 + 1, rec_id % 5 + 1) AS passes FROM shipped",
         "shipped",
     ),
 )
 def plan_review_loop(spark, sf):
-    """Replan after findings; the reviewer flags fixed output times on the first passes."""
-    recs = _facts(spark, sf)
+    """Replan after findings; the reviewer flags fixed output times on the first passes, of one to five requested."""
+    recs = _facts(spark, sf).withColumn("review_max_passes", F.pmod("rec_id", F.lit(5)) + 1)
 
     def plan(recordings, spoken):
         free = iv.complement(spoken, recordings, chunk=C)
@@ -319,7 +319,7 @@ def plan_review_loop(spark, sf):
         who = found.select("rec_id").distinct().where(F.pmod("rec_id", F.lit(4)) >= number)
         return who.select("rec_id", F.lit(5.0 * number).alias("start"), F.lit(5.0 * number + 2).alias("end"))
 
-    status, _ = rv.review_loop(recs, _talk(spark, sf), plan, check, 3)
+    status, _ = rv.review_loop(recs, _talk(spark, sf), plan, check)
     return status.select("rec_id", "status", F.col("passes").cast("long").alias("passes"))
 
 

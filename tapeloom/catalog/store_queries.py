@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.clock import identity_key
 from ..operators import scoring as sc
-from ..session import materialize
+from ..session import materialize, shared_path
 from ..sources import readers, reports
 from ..streaming import runs as st
 from .fixtures import HOP_CHUNK, scored, spans, sql_merge, table, vectors, with_views
@@ -60,16 +58,15 @@ def loudness(batches):
 
 @query(
     "score_by_content",
-    "SELECT conv_id, turn, length(text) % 5 + 2 * (length(text) % 3) AS total FROM conversations",
+    "SELECT conv_id, turn, CAST(coalesce(list_sum(list_transform(string_split(text, ''), lambda x: unicode(x))), 0) AS BIGINT) AS total FROM conversations",
 )
 def score_by_content(spark, sf):
     """Equal content is scored once, wherever it lies."""
     c = table(spark, sf, "conversations")
-    n = F.length("text")
-    w = c.select("conv_id", "turn", F.array((n % 5).cast("double"), (n % 3).cast("double"), (n % 3).cast("double")).alias("samples"))
+    w = c.select("conv_id", "turn", F.transform(F.split("text", ""), lambda x: F.ascii(x).cast("double")).alias("samples"))
     empty = w.limit(0).select(F.lit("").alias("key"), F.lit("").alias("model"), F.lit(None).cast("map<string,double>").alias("scores"))
     rows, _ = sc.score_by_content(w, empty, loudness, "m1")
-    return rows.select("conv_id", "turn", F.col("scores")["sum"].cast("int").cast("long").alias("total"))
+    return rows.select("conv_id", "turn", F.col("scores")["sum"].cast("long").alias("total"))
 
 
 _PROMPTS = "SELECT label, min_by(embedding, vec_id) AS pe FROM embeddings GROUP BY label"
@@ -83,7 +80,7 @@ def score_cosine(spark, sf):
     """First vector of each label as its prompt."""
     e = table(spark, sf, "embeddings")
     prompts = materialize(e.groupBy(F.col("label").alias("idx")).agg(F.min_by("embedding", "vec_id").alias("embedding")))
-    rows = sc.cosine_scores(e.select("vec_id", "embedding"), prompts, cap=4)
+    rows = sc.cosine_scores(e.select("vec_id", "embedding"), prompts)
     # The prompts are the labels of the model, a short fixed list.
     order = F.array(*[F.lit(r["idx"]).cast("long") for r in prompts.select("idx").orderBy("idx").collect()])
     numbered = rows.select("vec_id", F.posexplode("values").alias("pos", "v"))
@@ -153,7 +150,7 @@ def report_cut_list(spark, sf):
     s = spans(spark, sf)
     at, to = F.col("start") / 1e6, F.col("end") / 1e6
     rows = s.select("rec_id", F.col("id").alias("seq"), at.alias("source_start"), to.alias("source_end"), at.alias("output_start"), to.alias("output_end"))
-    path = tempfile.mkdtemp(prefix="spark-reports-", dir="/tmp")
+    path = shared_path(spark, "reports")
     reports.write_reports({"cut_list": rows}, path)
     schema = "source_start string, source_end string, output_start string, output_end string, seq long, rec_id string"
     return spark.read.schema(schema).csv(f"{path}/cut_list", header=True).select("rec_id", "seq", "source_start", "source_end")
@@ -167,7 +164,7 @@ def identity_key_query(spark, sf):
 @query("read_resumable_jsonl", "SELECT conv_id, turn, length(text) AS n FROM conversations")
 def read_resumable_jsonl(spark, sf):
     """Conversations as JSON lines in many files, each with a torn last line."""
-    path = tempfile.mkdtemp(prefix="spark-jsonl-", dir="/tmp")
+    path = shared_path(spark, "jsonl")
     c = table(spark, sf, "conversations").withColumn("part", F.pmod("conv_id", F.lit(4)))
     whole = c.select("part", F.lit(0).alias("torn"), "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "text")).alias("value"))
     torn = whole.groupBy("part").agg(F.min("value").alias("value")).select(
@@ -185,7 +182,7 @@ def read_resumable_jsonl(spark, sf):
 )
 def read_scores(spark, sf):
     """Score documents, one per recording, written as JSON and read back."""
-    path = tempfile.mkdtemp(prefix="spark-scores-", dir="/tmp")
+    path = shared_path(spark, "scores")
     v = vectors(spark, sf)
     row = F.struct("start", "end", F.create_map(F.lit("mouth"), F.greatest(F.get("embedding", F.lit(0)), F.lit(0.0))).alias("semantic"))
     docs = v.groupBy("rec_id").agg(F.collect_list(row).alias("rows"))
@@ -203,18 +200,18 @@ def read_scores(spark, sf):
 )
 def report_overwrite_partitions(spark, sf):
     """A second run replaces the days it holds and leaves the others."""
-    path = tempfile.mkdtemp(prefix="spark-parts-", dir="/tmp")
+    path = shared_path(spark, "parts")
     s = spans(spark, sf).select("rec_id", "id")
     reports.overwrite_partitions(s.withColumn("run", F.lit("first")), path)
     reports.overwrite_partitions(s.where(F.dayofmonth(F.to_date("rec_id")) % 2 == 0).withColumn("run", F.lit("second")), path)
     return spark.read.schema("id long, run string, rec_id string").parquet(path).select("rec_id", "id", "run")
 
 
-@query("report_chapters", with_views("SELECT rec_id, count(*) AS lines FROM spans WHERE category = 'click' GROUP BY rec_id", "spans"))
+@query("report_chapters", with_views("SELECT rec_id, count(*) AS lines FROM spans GROUP BY rec_id", "spans"))
 def report_chapters(spark, sf):
     """Chapter lines of every day, written as text and counted again."""
-    path = tempfile.mkdtemp(prefix="spark-chapters-", dir="/tmp")
-    rows = spans(spark, sf).where("category = 'click'").select(
+    path = shared_path(spark, "chapters")
+    rows = spans(spark, sf).select(
         "rec_id", F.col("id").alias("index"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), F.lit("tapping").alias("category"),
         F.array().cast("array<string>").alias("alternatives"), F.lit(0).cast("long").alias("review_findings"),
     )
@@ -238,7 +235,7 @@ def _stream(spark, sf, name):
 def _drain(stream, mode="append"):
     """Run a stream over all available files and return its output table."""
     spark = stream.sparkSession
-    folder = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    folder = shared_path(spark, "stream")
     if mode == "append":
         sink = stream.writeStream.format("parquet").option("path", f"{folder}/out")
     else:
@@ -282,25 +279,25 @@ def stream_order_check(spark, sf):
     return _drain(st.stream_order_check(e)).select("rec_id", "ordinal")
 
 
-_OPEN = "SELECT rec_id, g, min(i) AS s, max(i) + 1 AS e, max(n) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY rec_id, q ORDER BY i) AS g, max(i) OVER (PARTITION BY rec_id) + 1 AS n FROM f) WHERE q GROUP BY rec_id, g"
+_OPEN = "SELECT rec_id, g, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY rec_id, q ORDER BY i) AS g FROM f) WHERE q GROUP BY rec_id, g"
 
 
 @query(
     "stream_quiet_runs",
     with_views(
-        'SELECT rec_id, s AS start, e AS "end" FROM r WHERE e < n',
+        'SELECT rec_id, s AS start, e AS "end" FROM r',
         f="SELECT CAST(event_id // 500 AS VARCHAR) AS rec_id, event_id % 500 AS i, value < 10 AS q FROM events",
         r=_OPEN,
     ),
 )
 def stream_quiet_runs(spark, sf):
-    """Runs closed by a later frame; the open last run of a recording waits for its timeout."""
+    """All runs; the last frame of a recording closes the open one."""
     e = _stream(spark, sf, "events")
     frames = e.select(
         F.expr("event_id div 500").cast("string").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"),
-        F.pmod("event_id", F.lit(500)).alias("frame_idx"), (F.col("value") < 10).alias("quiet"),
+        F.pmod("event_id", F.lit(500)).alias("frame_idx"), (F.col("value") < 10).alias("quiet"), (F.pmod("event_id", F.lit(500)) == 499).alias("last"),
     )
-    return _drain(st.stream_quiet_runs(frames, flush_ms=10**12))
+    return _drain(st.stream_quiet_runs(frames))
 
 
 @query(

@@ -377,7 +377,7 @@ _CHAPTERS = dict(
     menu=_menu_sql(1.4),
     ranked=IDENTIFY,
     w=_W,
-    findings="SELECT o_orderkey % (SELECT count(DISTINCT rec_id) FROM vectors) AS rec_id, o_custkey % 300 * 0.5::DOUBLE AS s, o_custkey % 300 * 0.5::DOUBLE + o_orderkey % 9 * 0.25::DOUBLE AS e FROM orders WHERE o_orderkey % 97 = 0",
+    findings="SELECT o_orderkey % (SELECT count(DISTINCT rec_id) FROM vectors) AS rec_id, o_custkey % 300 * 0.5::DOUBLE AS s, o_custkey % 300 * 0.5::DOUBLE + o_orderkey % 9 * 0.25::DOUBLE AS e FROM orders",
     runs="SELECT *, sum(CASE WHEN pc = category AND pa = alt AND abs(pe - s) < 1e-5 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM ("
     "SELECT *, lag(category) OVER x AS pc, lag(alt) OVER x AS pa, lag(e) OVER x AS pe FROM w WINDOW x AS (PARTITION BY rec_id ORDER BY s))",
     ch="SELECT rec_id, run AS idx, min(s) AS s, max(e) AS e, any_value(category) AS category, any_value(alt) AS alt, count(*) AS n FROM runs GROUP BY rec_id, run",
@@ -389,7 +389,7 @@ def _chapters(spark, sf):
     from .fixtures import vectors
 
     n = vectors(spark, sf).select("rec_id").distinct().count()
-    o = table(spark, sf, "orders").where(F.pmod("o_orderkey", F.lit(97)) == 0).withColumn("n", F.lit(n))
+    o = table(spark, sf, "orders").withColumn("n", F.lit(n))
     at = F.pmod("o_custkey", F.lit(300)) * 0.5
     f = o.select(F.pmod("o_orderkey", F.col("n")).alias("rec_id"), at.alias("start"), (at + F.pmod("o_orderkey", F.lit(9)) * 0.25).alias("end"))
     return ch.chapters(menu_windows(spark, sf), f, chunk=20.0)

@@ -191,7 +191,7 @@ def transcript_word_intervals(spark, sf):
     "transcript_supported_utterance",
     with_views(
         f"SELECT f.rec_id, f.turn, (NOT {_GENERIC} AND cr <= 2.5 AND NOT (({KIND}) IS NOT NULL AND regexp_matches(lower({clean('text')}), '\\A(?:ha|he|hi|ho|ah|哈|呵|嘻|嘿|하|허|히|호|흐|ㅎ|ㅋ)+\\z')) "
-        "AND f.e > f.s AND lp > -1.85 AND wp >= 0.25 AND (speech >= 0.24 OR expressive >= 0.20)) AS supported FROM f JOIN w ON w.vec_id = (f.rec_id * 8 + f.turn) % 500",
+        "AND f.e > f.s AND lp > -1.85 AND wp >= 0.25 AND (speech >= 0.24 OR expressive >= 0.20)) AS supported FROM f JOIN w ON w.vec_id = (f.rec_id * 8 + f.turn) % (SELECT count(*) FROM embeddings)",
         "vectors",
         "segments",
         "voiced",
@@ -202,7 +202,7 @@ def transcript_word_intervals(spark, sf):
 def transcript_supported_utterance(spark, sf):
     df = aligned(spark, sf)
     scores = windows(spark, sf).drop("rec_id", "start", "end", "quiet")
-    rows = df.withColumn("vec_id", F.pmod(F.col("rec_id") * 8 + F.col("turn"), F.lit(500))).join(scores, "vec_id")
+    rows = df.withColumn("vec_id", F.pmod(F.col("rec_id") * 8 + F.col("turn"), F.lit(scores.count()))).join(scores, "vec_id")
     return rows.select("rec_id", "turn", tr.is_supported_utterance(tr.Segment(rows, OUTRO, SYLLABLES), Scores.of(rows)).alias("supported"))
 
 

@@ -7,6 +7,7 @@ pass is cut into blocks of ordinals.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,14 +90,14 @@ def align_groups(groups: DataFrame, intervals: DataFrame, by: Sequence[str] = BY
 
 
 def limit_groups(
-    aligned: DataFrame, groups: DataFrame, quiet: DataFrame, budget: float, by: Sequence[str] = BY, chunk=CHUNK,
-    max_rounds: int = 1000,
+    aligned: DataFrame, groups: DataFrame, quiet: DataFrame, budget: float, by: Sequence[str] = BY, chunk=CHUNK
 ) -> DataFrame:
     """Drop whole groups that touch quiet beyond the budget until none is left over it.
 
     Every round trims the joined clock of all open recordings at once; a
-    recording that needs no cut leaves the loop.  Rounds end because each one
-    removes at least one group of every recording that stays.
+    recording that needs no cut leaves the loop, as does one whose excess touches
+    none of its groups.  So every round removes a group of each recording that stays.
+    A recording that loses all its groups has no row; see ``limit_status``.
     """
     by = list(by)
     aligned, quiet = materialize(aligned), materialize(quiet.select(*by, "start", "end"))
@@ -127,7 +128,7 @@ def limit_groups(
     )
     pieces = materialize(pieces)
     settled = []
-    for _ in range(max_rounds):
+    while True:
         _, removed = fr.trim_quiet(pieces.select(*by, "start", "end"), quiet, F.lit(float(budget)), False, by, chunk, stored=True)
         removed = materialize(removed.select(*by, "start", "end"))
         still = removed.select(*by).distinct()
@@ -135,13 +136,13 @@ def limit_groups(
         if removed.isEmpty():
             break
         live = pieces.join(still, by, "left_semi")
-        hit = iv.overlap_length(live, removed, ["first"], by, chunk)
-        pieces = materialize(hit.where(F.col("overlap") <= 1e-8).drop("overlap"))
-    else:
-        raise RuntimeError("pause limit did not settle")
-    rows = settled[0]
-    for more in settled[1:]:
-        rows = rows.unionByName(more)
+        hit = materialize(iv.overlap_length(live, removed, ["first"], by, chunk))
+        moving = materialize(hit.where(F.col("overlap") > 1e-8).select(*by).distinct())
+        settled.append(hit.drop("overlap").join(moving, by, "left_anti"))
+        pieces = materialize(hit.where(F.col("overlap") <= 1e-8).drop("overlap").join(moving, by, "left_semi"))
+        if len(settled) >= 16:  # keeps the plan short however many rounds there are
+            settled = [materialize(reduce(DataFrame.unionByName, settled))]
+    rows = reduce(DataFrame.unionByName, settled)
     aggs = {
         "source_start": ("first", F.col("source_start")),
         "source_end": ("last", F.col("source_end")),
@@ -156,6 +157,15 @@ def limit_groups(
     return done.unionByName(cut.select(*done.columns))
 
 
+def limit_status(aligned: DataFrame, limited: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """``kept``, ``cut`` or ``empty`` for every recording that went into ``limit_groups``."""
+    length = F.sum(F.col("stop") - F.col("first"))
+    before = aligned.groupBy(*by).agg(length.alias("_before"))
+    after = limited.groupBy(*by).agg(length.alias("_after"))
+    status = F.when(F.col("_after").isNull(), "empty").when(F.col("_after") < F.col("_before"), "cut").otherwise("kept")
+    return before.join(after, list(by), "left").select(*by, status.alias("status"))
+
+
 def align_frames(frames: DataFrame, intervals: DataFrame, by: Sequence[str] = BY, chunk=CHUNK) -> DataFrame:
     """First and last whole frame inside each source interval.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import sigmoid, span_key
+from ..session import attach, materialize
 from . import intervals as iv
 from .scan import CHUNK, running
 
@@ -36,7 +37,8 @@ def score_missing(
     """Score windows that the cache lacks, each distinct window once.
 
     ``cache`` is ``(by, key, model, scores)``.  The scorer sees ``by, key, start,
-    end`` and returns ``by, key, scores``.  Returns every requested row (order
+    end`` and returns ``by, key, scores``.  Of cached rows with one key the latest
+    ``scored_at`` counts, where the cache has that column.  Returns every requested row (order
     columns and duplicates preserved) with its scores, and the new cache rows.
     """
     by = list(by)
@@ -53,39 +55,36 @@ def score_by_content(
 
 
 def _memoise(keyed, payload, cache, scorer, model, required, by):
-    known = valid_cache(cache, model, required).select(*by, "key", "scores")
     lookup = [*by, "key"]
+    order = F.struct(*[F.col(c) for c in ("scored_at",) if c in cache.columns], F.to_json("scores"))
+    known = valid_cache(cache, model, required).groupBy(*lookup).agg(F.max_by("scores", order).alias("scores"))
     first = [F.first(c).alias(c) for c in payload]
     pending = keyed.select(*lookup, *payload).groupBy(*lookup).agg(*first).join(known.select(*lookup), lookup, "left_anti")
     fields = [pending.schema[c] for c in lookup] + [T.StructField("scores", T.MapType(T.StringType(), T.DoubleType()))]
-    fresh = pending.mapInPandas(scorer, T.StructType(fields))
+    # Stored once: both results read the same scores, and no key is scored again.
+    fresh = materialize(pending.mapInPandas(scorer, T.StructType(fields)))
     rows = keyed.join(known.unionByName(fresh), lookup, "left").drop("key")
     return rows, fresh.withColumn("model", F.lit(model)).select(*lookup, "model", "scores")
 
 
-def cosine_scores(vectors: DataFrame, prompts: DataFrame, cap: int = 4096) -> DataFrame:
+def cosine_scores(vectors: DataFrame, prompts: DataFrame, cap: int = 65536) -> DataFrame:
     """Similarity of every window vector with every prompt, in prompt order, as ``values``.
 
-    The prompt matrix is small and fixed by the model; it is read in blocks of
-    ``cap`` rows, so neither the driver nor a task ever holds more than a block.
+    The prompts are a fixed list of the model; all of them go to every task as one
+    matrix.  More than ``cap``, or two with one ``idx``, is an error.
     """
-    order = prompts.select("idx", "embedding").orderBy("idx")
-    blocks, at = [], None
-    while True:
-        part = (order if at is None else order.where(F.col("idx") > at)).limit(cap).collect()
-        if not part:
-            break
-        blocks.append(np.stack([np.asarray(r["embedding"], np.float64) for r in part]))
-        at = part[-1]["idx"]
-        if len(part) < cap:
-            break
-    out = vectors.withColumns({f"_v{i}": _against(matrix)(F.col("embedding")) for i, matrix in enumerate(blocks)})
-    names = [f"_v{i}" for i in range(len(blocks))]
-    return out.withColumn("values", F.concat(*names)).drop(*names)
+    rows = prompts.select("idx", "embedding").orderBy("idx").limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise ValueError(f"more than {cap} prompts")
+    if len({r["idx"] for r in rows}) < len(rows):
+        raise ValueError("prompts share an idx")
+    if not rows:
+        return vectors.withColumn("values", F.array().cast("array<double>"))
+    return vectors.withColumn("values", _against(np.stack([np.asarray(r["embedding"], np.float64) for r in rows]))(F.col("embedding")))
 
 
 def _against(matrix: np.ndarray):
-    """Arrow function: dot products of a batch of vectors with one block of prompts."""
+    """Arrow function: dot products of a batch of vectors with all prompts."""
 
     @F.pandas_udf("array<double>")
     def score(column: pd.Series) -> pd.Series:
@@ -123,7 +122,7 @@ def retention_sweep(
     totals = idle.groupBy(*by).agg(
         F.sum("size").alias("_total"), F.coalesce(F.sum(F.when(F.col("completed"), F.col("size"))), F.lit(0)).alias("_done")
     )
-    rows = rows.join(totals, by)
+    rows = attach(rows, totals, by, F.col("id"))
     limit = F.greatest(
         F.lit(0), F.least(F.lit(budget), F.col("_total") - F.greatest(F.lit(0), F.lit(min_free) - free))
     )

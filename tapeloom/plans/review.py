@@ -20,7 +20,7 @@ def review_loop(
     spoken: DataFrame,
     plan_fn: Callable[[DataFrame, DataFrame], DataFrame],
     review_fn: Callable[[DataFrame, int], DataFrame],
-    max_passes: int = 3,
+    max_passes: int | None = None,
     by: Sequence[str] = BY,
     chunk=CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +28,8 @@ def review_loop(
 
     ``plan_fn(recordings, spoken)`` gives frame keeps, ``review_fn(keeps, pass)``
     gives findings on the output clock.  ``recordings`` carries ``dt`` and may
-    carry its own ``review_max_passes``.  Findings move to the source clock and
+    carry its own ``review_max_passes``; ``max_passes`` bounds these, or stands for
+    them where there are none (three if not given).  Findings move to the source clock and
     join the spoken time of the next pass.  A recording ends as ``passed`` without
     findings, as ``needs_review`` on its last pass, when nothing maps to the
     source or when another plan would keep nothing, and as ``empty`` when its
@@ -36,8 +37,10 @@ def review_loop(
     Returns ``(status, passes)`` per recording and the final keeps.
     """
     by = list(by)
-    limit = F.least(F.col("review_max_passes"), F.lit(max_passes)) if "review_max_passes" in recordings.columns else F.lit(max_passes)
+    own = "review_max_passes" in recordings.columns
+    limit = F.least(F.col("review_max_passes"), F.lit(max_passes)) if own else F.lit(max_passes or 3)
     open_ = materialize(recordings.withColumn("_limit", limit.cast("int")))
+    last = open_.agg(F.max("_limit")).first()[0] or 0
     spoken = spoken.select(*by, "start", "end")
     keeps = materialize(plan_fn(open_, spoken).select(*by, "start", "end"))
     statuses, plans = [], []
@@ -49,7 +52,7 @@ def review_loop(
     planned = keeps.select(*by).distinct()
     close(open_.join(planned, by, "left_anti"), "empty", 0)
     open_ = materialize(open_.join(planned, by, "left_semi"))
-    for number in range(1, max_passes + 1):
+    for number in range(1, last + 1):
         if open_.isEmpty():
             break
         findings = materialize(review_fn(keeps, number))
@@ -64,7 +67,7 @@ def review_loop(
         more = failed.join(hit, by, "left_semi")
         close(more.where(F.col("_limit") <= number), "needs_review", number)
         again = materialize(more.where(F.col("_limit") > number))
-        if number == max_passes or again.isEmpty():
+        if number == last or again.isEmpty():
             break
         spoken = materialize(spoken.unionByName(mapped.select(*by, "start", "end")))
         fresh = materialize(plan_fn(again, spoken.join(again.select(*by), by, "left_semi")).select(*by, "start", "end"))

@@ -33,11 +33,16 @@ def materialize(df: DataFrame) -> DataFrame:
     machine) a temporary folder is used.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/tapeloom-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared_folder(spark)}/tapeloom-{name}-{uuid.uuid4().hex}"
+
+
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -49,6 +54,16 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def opaque(condition: Column) -> Column:
+    """The same condition for a column that a filter reads afterwards.
+
+    The optimizer moves a filter below projections and repeats their expressions in it.
+    With the row number in the condition (never negative) the filter stays above,
+    and what a condition is made of is evaluated once per row.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def attach(df: DataFrame, dims: DataFrame, by, spread, salts: int = 16, how: str = "inner") -> DataFrame:
     """Join a one-row-per-key table to a big table whose keys may be skewed.
 

@@ -18,8 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def stream_quiet_runs(frames: DataFrame, min_frames: int = 1, watermark: str = "10 seconds", flush_ms: int = 60_000) -> DataFrame:
     """Quiet runs ``[start, end)`` per recording over ``(rec_id, ts, frame_idx, quiet)``.
 
-    The open run is carried across micro-batches, emitted when it closes and
-    flushed when the event time has passed ``flush_ms`` without new frames.
+    The open run is carried across micro-batches and emitted when it closes.  A frame
+    with ``last`` (an optional column) ends its recording and flushes the open run at
+    once; without one that happens ``flush_ms`` of event time after the newest frame.
     """
 
     def emit(rec, runs) -> pd.DataFrame:
@@ -41,6 +42,12 @@ def stream_quiet_runs(frames: DataFrame, min_frames: int = 1, watermark: str = "
                 a = b = -1
             if quiet:
                 a, b = (index if a < 0 else a), index + 1
+        if "last" in rows.columns and rows["last"].any():
+            closed += [(a, b)] if a >= 0 else []
+            if state.exists:
+                state.remove()
+            yield emit(rec, closed)
+            return
         state.update((int(a), int(b)))
         latest = int(rows["ts"].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + flush_ms)

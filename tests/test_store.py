@@ -63,8 +63,8 @@ def test_scorer_sees_each_missing_window_once(spark):
     w = spark.createDataFrame([("r", 1.0, 2.0), ("r", 1.0, 2.0), ("r", 3.0, 4.0), ("r", 1.000001, 2.0)], "rec_id string, start double, end double")
     empty = spark.createDataFrame([], "rec_id string, key string, model string, scores map<string,double>")
     rows, fresh = sc.score_missing(w, empty, scorer, "m")
-    stored = fresh.cache()
-    assert stored.count() == 2 and seen.value == 2
+    assert rows.count() == 4 and rows.where("scores is null").count() == 0 and fresh.count() == 2 and seen.value == 2
+    stored = fresh.unionByName(fresh)  # an append-only cache after a retry
     again, more = sc.score_missing(w, stored, scorer, "m")
     assert again.count() == 4 and more.count() == 0
     assert sc.score_missing(w, stored, scorer, "other")[1].count() == 2
