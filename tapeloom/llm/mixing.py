@@ -178,7 +178,8 @@ def _pieces(placed: DataFrame, taken: DataFrame, block: int) -> DataFrame:
     parts = placed.filter("size > 0").select("_i", "_start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low = F.greatest(F.col("block") * block - start, F.lit(0))
     parts = parts.select("_i", "block", "_start", low.alias("low"), F.least((F.col("block") + 1) * block - start, size).alias("high"))
-    return parts.join(taken, ["_i", "block"])
+    # Blocks unfold from small tables, so their estimated size is far too low for a broadcast.
+    return parts.join(taken.hint("merge"), ["_i", "block"])
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
