@@ -208,17 +208,16 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     own = Window.partitionBy("_i", "_start", "round").orderBy("block")
     runs = pieces.withColumn("_run", F.col("block") - F.row_number().over(own)).groupBy("_i", "_start", "round", "_run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     lists = runs.groupBy("_i", "_start").agg(F.array_sort(F.collect_list(F.struct("round", "low", "high"))).alias("_runs"))
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("_h")]
-    chosen = placed.filter("size > 0").join(lists, ["_i", "_start"]).select(*key, "size", "_runs")
-    chosen = chosen.groupBy("_d", "_n", "_h", "size").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    text = marked.select(*[F.struct(*[F.col(c) for c in docs.columns]).alias("_row")], *key)
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_n")]
+    chosen = placed.filter("size > 0").join(lists, ["_i", "_start"]).select(*key, "_h", F.col("size").alias("_size"), "_runs")
+    chosen = chosen.groupBy("_d", "_n", "_h", "_size").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
+    text = docs.select(F.struct(*docs.columns).alias("_row"), *key, F.xxhash64("text").alias("_h"))
     once = text.withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_n", "_h").orderBy("_h"))).filter("_k = 1").drop("_k")
     rows = once.join(chosen, ["_d", "_n", "_h"])
-    words = F.when(F.exists("_runs", lambda r: r["high"] - r["low"] < F.col("size")), F.regexp_extract_all(F.col("_row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)))
-    rows = rows.withColumn("_words", words).select("_row", "size", "_words", F.explode("_runs").alias("_r"))
+    words = F.when(F.exists("_runs", lambda r: r["high"] - r["low"] < F.col("_size")), F.regexp_extract_all(F.col("_row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)))
+    rows = rows.withColumn("_words", words).select("_row", "_size", "_words", F.explode("_runs").alias("_r"))
     length = F.col("_r.high") - F.col("_r.low")
-    part = F.when(length == F.col("size"), F.col("_row.text")).otherwise(F.array_join(F.slice("_words", (F.col("_r.low") + 1).cast("int"), length.cast("int")), ""))
+    part = F.when(length == F.col("_size"), F.col("_row.text")).otherwise(F.array_join(F.slice("_words", (F.col("_r.low") + 1).cast("int"), length.cast("int")), ""))
     rows = rows.select("_row", part.alias("_text"))
     made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return rows.select(*[made.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])

@@ -297,15 +297,15 @@ def keep_one(docs: DataFrame, width: int = 3, limit: int = 3, prints: int = 4) -
     stays, if no row with a doc_id has that text.
     """
     marked = materialize(near_duplicates(docs.filter("doc_id is not null"), width, limit, prints))
-    named = marked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    named = marked.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
     once = materialize(named.distinct())
-    kept = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
+    kept = rows.join(once, "_id", "left_semi")
     if once.count() < named.count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-        kept = kept.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
-    nameless = docs.filter("doc_id is null")
-    if nameless.isEmpty():
-        return kept
-    check = F.xxhash64("text").alias("_h")
-    nameless = nameless.select("*", check).dropDuplicates(["_h"])
-    return kept.unionByName(nameless.join(docs.filter("doc_id is not null").select(check), "_h", "left_anti").drop("_h"))
+        order = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
+        kept = kept.withColumn("_k", F.row_number().over(order)).filter("_k = 1")
+    nameless = rows.filter("_id is null")
+    if not nameless.isEmpty():
+        nameless = nameless.dropDuplicates(["_h"]).join(rows.filter("_id is not null").select("_h"), "_h", "left_anti")
+        kept = kept.select("_row").unionByName(nameless.select("_row"))
+    return kept.select("_row.*")
