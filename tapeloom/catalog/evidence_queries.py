@@ -336,6 +336,10 @@ _VOICE = dict(
     ),
 )
 def evidence_voice_intervals(spark, sf):
+    return micros(voices(spark, sf))
+
+
+def voices(spark, sf):
     w = windows(spark, sf)
     suspects = w.where(p.is_strong_voice(p.Scores.of(w))).select("rec_id", "start", "end")
     wanted = grids.hop_windows(suspects, 2.0, 1.0, 0.4).distinct()
@@ -343,7 +347,7 @@ def evidence_voice_intervals(spark, sf):
     fine = wanted.join(w.drop("end"), ["rec_id", "start"])
     uncertain = w.where(F.pmod("vec_id", F.lit(13)) == 0).select("rec_id", "start", (F.col("start") + 1.5).alias("end"))
     breaks = w.where(F.pmod("vec_id", F.lit(29)) == 0)
-    return micros(ev.voice_intervals(w, fine, uncertain, breaks, chunk=C))
+    return ev.voice_intervals(w, fine, uncertain, breaks, chunk=C)
 
 
 _ROLE = "CASE vec_id % 5 WHEN 0 THEN 'before' WHEN 1 THEN 'after' ELSE 'body' END"
@@ -458,12 +462,10 @@ def evidence_detect_whispers(spark, sf):
     return micros(ev.detect_whispers(w, fine, chunk=C), "windows")
 
 
-_REPORT_MERGE = dict(w=W)
-
-
 @query("evidence_category_report")
 def evidence_category_report(spark, sf):
-    """All categories of one window table; each category has its own SQL check above."""
+    """All categories of one window table; most have a SQL check of their own above."""
     w = windows(spark, sf)
-    report = ev.category_report(w, announcements(spark, sf), impacts(spark, sf, w), chunk=C, drink_pattern=_SAID_PATTERN)
+    voice = voices(spark, sf)
+    report = ev.category_report(w, announcements(spark, sf), impacts(spark, sf, w), chunk=C, drink_pattern=_SAID_PATTERN, voice=voice)
     return micros(report, "category")

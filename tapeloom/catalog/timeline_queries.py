@@ -407,6 +407,20 @@ def chapter_list(spark, sf):
     return micros(_chapters(spark, sf), "index", "category", F.array_join("alternatives", "|").alias("alternatives"), "windows", "review_findings", "needs_confirmation")
 
 
+@query(
+    "chapter_findings",
+    with_views(
+        f'SELECT ch.rec_id, CAST(ch.idx AS BIGINT) AS index, {sql_us("f.s")} AS start, {sql_us("f.e")} AS "end" FROM ch JOIN findings f ON f.rec_id = ch.rec_id AND f.s < ch.e AND f.e > ch.s AND f.e > f.s',
+        "vectors",
+        **{k: v for k, v in _CHAPTERS.items() if k != "full"},
+    ),
+)
+def chapter_findings(spark, sf):
+    """The findings attached to every chapter."""
+    rows = _chapters(spark, sf).select("rec_id", "index", F.explode("findings").alias("f"))
+    return micros(rows.select("rec_id", "index", "f.start", "f.end"), "index")
+
+
 _TITLE = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TITLES.items()) + " END"
 _HMS = "format('{{:02d}}:{{:02d}}:{{:02d}}', CAST({c} AS BIGINT) // 3600, CAST({c} AS BIGINT) // 60 % 60, CAST({c} AS BIGINT) % 60)"
 

@@ -18,8 +18,8 @@ BY = ("rec_id",)
 def chapters(windows: DataFrame, findings: DataFrame, by: Sequence[str] = BY, chunk=CHUNK) -> DataFrame:
     """Touching windows of equal category and equal alternatives become one chapter.
 
-    ``review_findings`` counts the findings a chapter overlaps; the pairs
-    themselves are in :func:`chapter_findings`.
+    ``findings`` lists the start and end of the findings a chapter overlaps, in order,
+    and ``review_findings`` counts them; :func:`chapter_findings` has the pairs.
     """
     by = list(by)
     rows = windows.withColumn("alternatives", F.sort_array("alternatives"))
@@ -35,7 +35,10 @@ def chapters(windows: DataFrame, findings: DataFrame, by: Sequence[str] = BY, ch
     )
     runs = islands(rows, aggs, differs, uses=["start", "end", "category", "alternatives"], by=by, chunk=chunk)
     runs = running(runs, {"index": ("sum", F.lit(1))}, ["start"], by, chunk, inclusive=True)
-    hits = chapter_findings(runs, findings, by, chunk).groupBy(*by, "index").agg(F.count(F.lit(1)).alias("review_findings"))
+    hits = chapter_findings(runs, findings, by, chunk).groupBy(*by, "index").agg(
+        F.count(F.lit(1)).alias("review_findings"),
+        F.array_sort(F.collect_list(F.struct(F.col("finding.start").alias("start"), F.col("finding.end").alias("end")))).alias("findings"),
+    )
     out = runs.join(hits, [*by, "index"], "left")
     return out.select(
         *by,
@@ -44,9 +47,11 @@ def chapters(windows: DataFrame, findings: DataFrame, by: Sequence[str] = BY, ch
         "end",
         (F.col("end") - F.col("start")).alias("duration"),
         "category",
+        _title(F.col("category"), TITLES).alias("title"),
         "alternatives",
         "windows",
         F.coalesce("review_findings", F.lit(0).cast("long")).alias("review_findings"),
+        F.coalesce("findings", F.array().cast(out.schema["findings"].dataType)).alias("findings"),
         F.col("category").isin("unknown", "mixed").alias("needs_confirmation"),
     )
 
@@ -58,10 +63,14 @@ def chapter_findings(rows: DataFrame, findings: DataFrame, by: Sequence[str] = B
     return pairs.select(*by, F.col("l.index").alias("index"), F.col("r").alias("finding"))
 
 
+def _title(category, titles: dict[str, str]):
+    names = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
+    return F.coalesce(F.element_at(names, category), category)
+
+
 def chapter_text(rows: DataFrame, titles: dict[str, str] | None = None, by: Sequence[str] = BY) -> DataFrame:
     """One line per chapter: times, title, alternatives and a review mark."""
-    names = F.create_map(*[F.lit(x) for pair in (titles or TITLES).items() for x in pair])
-    title = lambda c: F.coalesce(F.element_at(names, c), c)
+    title = lambda c: _title(c, titles or TITLES)
     others = F.array_join(F.transform("alternatives", title), "、")
     line = F.concat(
         format_short_clock(F.col("start")),

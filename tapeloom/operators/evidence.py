@@ -293,12 +293,13 @@ def detect_whispers(contexts: DataFrame, fine: DataFrame, by: Sequence[str] = BY
 
 def category_report(
     windows: DataFrame, segments: DataFrame, impacts: DataFrame, by: Sequence[str] = BY, chunk=CHUNK,
-    drink_pattern: str | None = None,
+    drink_pattern: str | None = None, voice: DataFrame | None = None,
 ) -> DataFrame:
     """Every category of one stored window table as rows ``(category, start, end)``.
 
     ``impacts`` come from :func:`tapeloom.operators.signal.impact_events`, which
-    also needs the samples.  All break-like categories grow in one pass; policy
+    also needs the samples, and ``voice`` from :func:`voice_intervals`, which also
+    needs fine scores and the supported utterances.  All break-like categories grow in one pass; policy
     is applied later.
     """
     by = list(by)
@@ -322,6 +323,8 @@ def category_report(
     parts = [
         extend_breaks(seeds, windows, by, chunk, ["category"]), runs, named(impacts, "impacts"), named(texture, "extraction"),
     ]
+    if voice is not None:
+        parts.append(named(voice, "voice"))
     return reduce(DataFrame.unionByName, [df.select(*tagged, *SPAN) for df in parts])
 
 
