@@ -18,13 +18,21 @@ from .scan import CHUNK, slot, stitch
 BY = ("rec_id",)
 
 
+#: More pieces of one interval mean that the chunk is in another unit than the times.
+MOST_PIECES = 1_000_000
+
+
 def clip(df: DataFrame, chunk=CHUNK) -> DataFrame:
-    """Cut ``start``/``end`` at chunk edges; ``_ck`` names the chunk of a piece."""
+    """Cut ``start``/``end`` at chunk edges; ``_ck`` names the chunk of a piece.
+
+    An interval of more than ``MOST_PIECES`` chunks is an error.
+    """
     first, last = slot(F.col("start"), chunk), slot(F.col("end"), chunk)
     width = F.lit(chunk)
+    fine = F.when(last - first >= MOST_PIECES, F.raise_error(F.lit(f"an interval has more than {MOST_PIECES} chunks of {chunk}"))).otherwise(F.sequence(first, last))
     return (
         df.where(F.col("end") > F.col("start"))
-        .withColumn("_ck", F.explode(F.sequence(first, last)))
+        .withColumn("_ck", F.explode(fine))
         .withColumn("_a", F.when(F.col("_ck") == first, F.col("start")).otherwise(F.col("_ck") * width))
         .withColumn("_b", F.when(F.col("_ck") == last, F.col("end")).otherwise((F.col("_ck") + 1) * width))
         .where(F.col("_b") > F.col("_a"))

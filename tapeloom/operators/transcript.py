@@ -151,14 +151,19 @@ def classify_segments(
     times = segments.select(*by, *[k for k in key if k not in by], "start", "end")
     overlap = iv.overlap_length(times, vad, key, by, chunk).drop("start", "end")
     rows = segments.join(overlap, [*by, *[k for k in key if k not in by]])
+    # The patterns run once per row; the rules below read their results many times.
+    text = Segment(rows, outro, syllables)
+    rows = rows.withColumn("_clean", text.clean).withColumn("_generic", text.generic)
+    rows = rows.withColumn("_nonlexical", is_nonlexical(F.col("_clean")) if syllables is None else is_nonlexical(F.col("_clean"), syllables))
     s = Segment(rows, outro, syllables)
+    s.clean, s.generic, s.nonlexical = F.col("_clean"), F.col("_generic"), F.col("_nonlexical")
     accepted = plausible(s, F.col("overlap"), F.col("pass") == "continuous")
     review = s.aligned & s.lexical
     uncertain = s.solid & (s.logprob > -1.85) & ~s.generic
     outcome = F.when(accepted, "accepted").when(review | uncertain, "uncertain").otherwise("rejected")
     rows = rows.withColumn("outcome", outcome)
     only = (F.col("outcome") == "uncertain") & review
-    return rows.withColumn("review_only", only).withColumn("reason", F.when(only, s.alignment_issue)).drop("overlap")
+    return rows.withColumn("review_only", only).withColumn("reason", F.when(only, s.alignment_issue)).drop("overlap", "_clean", "_generic", "_nonlexical")
 
 
 def word_groups(segments: DataFrame, gap: float = 0.9) -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.operators import intervals as iv
 from tapeloom.operators import packets as pk
 from tapeloom.operators import scoring as sc
 from tapeloom.operators import signal
@@ -71,3 +72,10 @@ def test_log_mel_says_what_it_cuts(spark):
     df = spark.createDataFrame([(n, [1] * n) for n in (100, 720, 1200)], "n int, samples array<int>")
     got = {r["n"]: (r["truncated"], r["features"] is None) for r in signal.log_mel(df, frames=3).collect()}
     assert got == {100: (False, True), 720: (False, False), 1200: (True, False)}
+
+
+def test_chunk_in_another_unit_is_an_error(spark):
+    df = spark.createDataFrame([("r", 0.0, 86_400_000_000.0)], "rec_id string, start double, end double")
+    with pytest.raises(Exception, match="chunks"):
+        iv.merge(df, 0).count()
+    assert iv.merge(df, 0, chunk=600_000_000).count() == 1
