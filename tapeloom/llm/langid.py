@@ -128,8 +128,13 @@ def train(docs: DataFrame, parts: int = 4, part: int = 2, most: int = PER_LANGUA
     """Model of (doc_id, text, lang) rows that are not held out; null if no row has both a text and a language."""
     usable = docs.filter(~held_out(F.col("doc_id"), parts, part) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).select("doc_id").distinct()
-    chosen = materialize(ids)
+    # Counts by the first bits of the hash say how far each language has to be read, so only these rows are put in order.
+    start = F.shiftright(F.xxhash64("doc_id"), 48).alias("_p")
+    counts = usable.select("lang", start).groupBy("lang", "_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("lang").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    near = materialize(counts.withColumn("_b", F.coalesce(before, F.lit(0))).filter(F.col("_b") < most).select("lang", "_p"))
+    ids = usable.select("doc_id", "lang", start).join(near, ["lang", "_p"], "left_semi")
+    chosen = materialize(ids.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).select("doc_id").distinct())
     rarity = rarities(usable)
 
     def run(batches):
