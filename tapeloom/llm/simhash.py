@@ -28,6 +28,8 @@ from .common import hook, in_slices, shuffle_partitions, word_lists
 
 FAN = 8
 QUERIES = 256
+#: Near copies: words of a shingle; keys of a set of shingles, and the least hashes that make one.
+WIDTH, BANDS, BAND = 5, 32, 4
 
 
 def _again(h: np.ndarray, turn: int) -> np.ndarray:
@@ -289,19 +291,156 @@ def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, prints: int
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, limit: int = 3, prints: int = 4) -> DataFrame:
-    """One row of ``docs`` for each component: that of its smallest doc_id.
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted different hashes of the ``width``-word shingles; a text with fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    digest = functools.partial(xxh64_intdigest, seed=42)
+    found = [np.zeros(0, dtype=np.uint64)]
+    for n, words in enumerate(word_lists(text, width - 1)):
+        if len(words) >= width:
+            runs = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+            found.append(np.fromiter(map(digest, runs), dtype=np.uint64, count=len(words) - width + 1))
+        elif words and not n:
+            found.append(np.array([digest(b" ".join(words))], dtype=np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set its name (equal for equal sets, zero if empty), its SimHash, and a key for each band of least hashes.
+
+    Sets of similarity s share a band's key with probability s**4; of the pairs at 0.8
+    less than one in ten million shares none of the 32.
+    """
+    from xxhash import xxh64_intdigest
+
+    node = np.array([xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], dtype=np.uint64)
+    prints, keys = np.zeros(len(sets), dtype=np.uint64), np.zeros((len(sets), BANDS), dtype=np.uint64)
+    turn, factor = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND), dtype=np.uint64)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    at = 0
+    while at < len(full):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[full[at:]]), 100_000, side="right")))
+        own = full[at:upto]
+        flat, starts = np.concatenate([sets[i] for i in own]), np.cumsum(sizes[own]) - sizes[own]
+        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_ = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        prints[own] = np.packbits(2 * set_ > sizes[own][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        for k in range(BANDS):
+            key = np.full(len(own), k + 1, dtype=np.uint64)
+            for j in range(k * BAND, (k + 1) * BAND):
+                key = (key ^ np.minimum.reduceat((flat ^ turn[j]) * (factor[j] | np.uint64(1)), starts)) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(29)
+            keys[own, k] = key
+        at = upto
+    return node, prints, keys
+
+
+def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, h (hash of the text), node (name of its set of shingles), n (their number), fp and keys of every row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in in_slices(batch, 500):
+                sets = [shingle_set(t, width) for t in part.column(2).to_pylist()]
+                node, prints, keys = sketches(sets)
+                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))],
+                    names=["doc_id", "h", "node", "n", "fp", "keys"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    slim = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(run, f"doc_id {kind}, h long, node long, n long, fp long, keys array<long>")
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, shingles) for the rows of ``wanted`` (h, node); a task makes the set of equal texts once."""
 
-    Several fingerprints find near copies that one would miss.  Of rows with one doc_id the
-    first by checksum stays.  Rows without doc_id can't name a component: one of each text
-    stays, if no row with a doc_id has that text.
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for batch in batches:
+            for part in in_slices(batch, 500):
+                nodes, sets = [], []
+                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(shingle_set(text, width).view(np.int64))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
+                flat = np.concatenate([np.zeros(0, dtype=np.int64), *sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "shingles"])
+
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).join(wanted, "h")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different nodes whose sets have a Jaccard similarity of 0.8 at least."""
+    once = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    common = F.size(F.array_intersect("x", "y"))
+    return once.join(one, "a").join(two, "b").filter(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def similar(docs: DataFrame, found: DataFrame, width: int = WIDTH, limit: int = 3, most: int = 16384) -> DataFrame:
+    """(node, first, root) of every set of shingles in ``found``: its least doc_id and the name of its component.
+
+    Nodes link if their exact similarity is 0.8 at least.  Candidates are close
+    fingerprints and nodes that share a band's key.  Pairs that are linked already need
+    no check: first the fingerprints' forest is checked, then each node of a bucket with
+    one other, and last all pairs of a bucket that are still in different components.
+    """
+    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("h", "n", "fp", "keys")]))
+    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    buckets = materialize(rows.join(shared, "key").select("key", "node", "n"))
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = nodes.join(least, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    near = materialize(equal.unionByName(links(least.select(F.col("least").alias("fp"), F.col("fp").alias("u")), limit, most)))
+    named = buckets.select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(shingles_of(docs, nodes.join(named, "node", "left_semi").select("h", "node"), width))
+    fits = lambda n, m: 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+    def mixed(roots):
+        """Rows of the buckets that hold more than one component, with theirs."""
+        own = buckets.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        several = own.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+        return materialize(own.join(several, "key", "left_semi"))
+
+    roots = components(alike(near, sets))
+    own = mixed(roots)
+    centre = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "root")).alias("c"))
+    spokes = own.join(centre, "key").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n"))).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+    tree = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(tree().unionByName(alike(spokes, sets)))
+    own = mixed(roots)
+    main = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    others = own.join(main, "key").filter("root <> main").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("s"))
+    pairs = others.join(own, "key").filter((F.col("root") != F.col("s")) & fits(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b"))
+    roots = components(tree().unionByName(alike(pairs, sets)))
+    return nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row of ``docs`` for each component of ``similar``: that of its smallest doc_id.
+
+    Of rows with one doc_id the first by checksum stays.  Rows without doc_id can't name
+    a component: one of each text stays, if no row with a doc_id has that text.
     """
-    marked = materialize(near_duplicates(docs.filter("doc_id is not null"), width, limit, prints))
-    named = marked.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    once = materialize(named.distinct())
+    with_id = docs.filter("doc_id is not null")
+    found = materialize(sketched(with_id, width))
+    linked = similar(with_id, found, width)
+    once = materialize(linked.groupBy("root").agg(F.min("first").alias("_id")).select("_id").distinct())
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
     kept = rows.join(once, "_id", "left_semi")
-    if once.count() < named.count():
+    if found.select("doc_id").distinct().count() < found.count():
         order = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
         kept = kept.withColumn("_k", F.row_number().over(order)).filter("_k = 1")
     nameless = rows.filter("_id is null")

@@ -96,6 +96,30 @@ def test_one_of_each_group_stays(spark):
     assert ids == [1, 4, 7, 9, 10, 11] and kept.where("doc_id is null").count() == 1
 
 
+def test_near_copies_by_exact_similarity(spark):
+    """Components of all pairs of five-word similarity 0.8 or more, and of no others, by plain loops."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(30):
+        base = [f"w{g}x{rng.integers(500)}" for _ in range(150)]
+        texts.append(base)
+        for edits in (1, 2, 3, 4, 6):
+            for _ in range(2):
+                other = list(base)
+                for i in rng.choice(150, edits, replace=False):
+                    other[i] = f"new{rng.integers(10**6)}"
+                texts.append(other)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if 5 * common >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if x == old else x for x in group]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len(set(group)) > 60 and {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(group)
+
+
 def test_hilbert_curve_steps_to_neighbours(spark):
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         points = list(itertools.product(range(1 << bits), repeat=dims))
