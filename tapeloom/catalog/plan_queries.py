@@ -204,8 +204,10 @@ _STRICT = dict(
 )
 
 
-def _talk(spark, sf):
-    k = keeps(spark, sf).where(F.pmod("start", F.lit(240)) == 80)
+def _talk(spark, sf, kept=None):
+    """Talk at the start of every keep, or of those that ``kept`` is true for."""
+    k = keeps(spark, sf)
+    k = k if kept is None else k.where(kept)
     return materialize(k.select("rec_id", (F.col("start") * 0.5).alias("start"), (F.col("start") * 0.5 + 1.3).alias("end")))
 
 
@@ -244,7 +246,7 @@ def _no_segments(spark):
     ),
 )
 def plan_strict(spark, sf):
-    talk = _talk(spark, sf)
+    talk = _talk(spark, sf, F.pmod("start", F.lit(240)) == 80)  # as its SQL
     none = talk.where(F.lit(False))
     return pl.plan_strict(_no_segments(spark), talk, none, none, none, _wide(spark, sf), _facts(spark, sf), _settings(spark, sf), block=256)
 
