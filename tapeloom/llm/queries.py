@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import divergence, hilbert, hmm, langid, mixing, packing, simhash, topk, toxicity, urls
+from . import compression, divergence, hilbert, hmm, langid, merkle, mixing, negatives, packing, simhash, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,65 @@ def op9(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+_OP11 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.r AS ar, b.r AS br, a.vec_id AS anchor_id, a.label, a.x, b.vec_id AS positive_id, list_dot_product(a.x, b.x)::BIGINT AS s
+      FROM v AS a JOIN v AS b ON a.label = b.label AND a.r <> b.r WHERE a.vec_id % 50 = 0
+      QUALIFY row_number() OVER (PARTITION BY a.r ORDER BY s DESC, b.vec_id) <= 5),
+n AS (SELECT p.*, c.vec_id AS negative_id, list_dot_product(p.x, c.x)::BIGINT AS t FROM p JOIN v AS c ON p.label <> c.label)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY ar, br ORDER BY t DESC, negative_id)::INTEGER AS rank, negative_id,
+       s AS positive_score, t AS negative_score
+FROM n WHERE 50 * s <= 100 * t AND 100 * t <= 95 * s QUALIFY rank <= 3
+"""
+
+
+@query("op11_anchor_tree_negatives", _OP11)
+def op11(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+#: Levels as a recursion over runs; proofs and folds walk up level by level.  crc32 is folded bit by bit.
+_OP12 = """
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, *, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')) AS h FROM documents),
+c AS (SELECT r, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda t, k: xor(t // 2, (t % 2) * 3988292384)))) % 3 END AS m FROM f),
+l AS (SELECT r, doc_id, lang, sha256(array_to_string(h, '') || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+             CASE WHEN m = 0 THEN sha256(array_to_string(h, '') || coalesce(strlen(text)::VARCHAR || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+      FROM f JOIN c USING (r)),
+o AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+low AS (SELECT 0 AS k, g, i, n, leaf AS h FROM o
+        UNION ALL SELECT k + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY k, g, i // 8, n),
+sub AS (SELECT g, h AS subroot, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS k, g AS i, n, subroot AS h FROM sub
+         UNION ALL SELECT k + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY k, i // 8, n),
+root AS (SELECT h AS root FROM high WHERE n = 1),
+runs AS (SELECT 0 AS part, k, g, i // 8 AS p, list(h ORDER BY i) AS hs FROM low WHERE n > 1 GROUP BY k, g, i // 8
+         UNION ALL SELECT 1, k, 0, i // 8, list(h ORDER BY i) FROM high WHERE n > 1 GROUP BY k, i // 8),
+walk AS (SELECT o.r, 0 AS part, runs.k, runs.hs, ((o.i // (8 ** runs.k)::BIGINT) % 8)::BIGINT AS slot FROM o JOIN runs ON runs.part = 0 AND runs.g = o.g AND runs.p = o.i // (8 ** (runs.k + 1))::BIGINT
+         UNION ALL SELECT o.r, 1, runs.k, runs.hs, ((o.g // (8 ** runs.k)::BIGINT) % 8)::BIGINT FROM o JOIN runs ON runs.part = 1 AND runs.p = o.g // (8 ** (runs.k + 1))::BIGINT),
+steps AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY part, k) AS s, array_to_string(hs[1:slot], '') AS before, array_to_string(hs[slot + 2:], '') AS after FROM walk),
+fold AS (SELECT r, 0::BIGINT AS s, coalesce(other, leaf) AS held FROM o
+         UNION ALL SELECT r, steps.s, sha256(before || held || after) FROM fold JOIN steps USING (r) WHERE steps.s = fold.s + 1),
+last AS (SELECT r, arg_max(held, s) AS folded_root FROM fold GROUP BY r),
+proof AS (SELECT r, string_agg(before || after, '' ORDER BY s) AS others FROM steps GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(others, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM o JOIN sub USING (g) JOIN last USING (r) LEFT JOIN proof USING (r), root
+"""
+
+
+@query("op12_sibling_shift_manifest", _OP12)
+def op12(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_compression_quality")
+def op13(spark, sf_dir):
+    return compression.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
