@@ -19,7 +19,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.session import materialize
@@ -30,6 +30,8 @@ FAN = 8
 QUERIES = 256
 #: Near copies: words of a shingle; keys of a set of shingles, and the least hashes that make one.
 WIDTH, BANDS, BAND = 5, 32, 4
+#: Parts of a set's shingles whose sizes bound what two sets have in common.
+PARTS = 64
 
 
 def _again(h: np.ndarray, turn: int) -> np.ndarray:
@@ -389,15 +391,32 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return once.join(one, "a").join(two, "b").filter(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def profiles(sets: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(node, shared, counts) of every set: its shingles that another set holds too, and their number in each of ``parts`` parts.
+
+    Two sets have no more common shingles than the sum over the parts of the lesser
+    number: a bound that edits in different places keep close to the truth.
+    """
+    rows = sets.select("node", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s")
+    part = F.pmod(F.xxhash64("s"), F.lit(parts)).cast("int")
+    sums = rows.join(often, "s").groupBy("node", part.alias("part")).agg(F.count("*").alias("c"))
+    by_part = sums.groupBy("node").agg(F.sum("c").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("m"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("smallint"))
+    return by_part.select("node", "shared", counts.alias("counts"))
+
+
 def similar(docs: DataFrame, found: DataFrame, width: int = WIDTH, limit: int = 3, most: int = 16384) -> DataFrame:
-    """(node, first, root) of every set of shingles in ``found``: its least doc_id and the name of its component.
+    """(node, first, root) of every set of shingles in ``found``: its least row (doc_id, null last, and hash of the text) and the name of its component.
 
     Nodes link if their exact similarity is 0.8 at least.  Candidates are close
     fingerprints and nodes that share a band's key.  Pairs that are linked already need
     no check: first the fingerprints' forest is checked, then each node of a bucket with
-    one other, and last all pairs of a bucket that are still in different components.
+    one other, and last the pairs of a bucket that are still in different components, as
+    far as the bounds of their ``profiles`` let them be similar enough.
     """
-    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("h", "n", "fp", "keys")]))
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")
+    nodes = materialize(found.groupBy("node").agg(least_row, *[F.first(c).alias(c) for c in ("h", "n", "fp", "keys")]))
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = materialize(rows.join(shared, "key").select("key", "node", "n"))
@@ -421,9 +440,15 @@ def similar(docs: DataFrame, found: DataFrame, width: int = WIDTH, limit: int =
     tree = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(tree().unionByName(alike(spokes, sets)))
     own = mixed(roots)
+    known = materialize(profiles(sets.join(own.select("node").distinct(), "node", "left_semi")))
+    # A set with too few shared shingles for any partner has no pair.
+    own = materialize(own.join(known, "node").filter(5 * F.col("shared") >= 4 * F.col("n")))
     main = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    others = own.join(main, "key").filter("root <> main").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("s"))
-    pairs = others.join(own, "key").filter((F.col("root") != F.col("s")) & fits(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b"))
+    others = own.join(main, "key").filter("root <> main").select(*[F.col(c).alias(f"_{c}") for c in own.columns])
+    enough = lambda common: 9 * common >= 4 * (F.col("n") + F.col("_n"))
+    bound = F.aggregate(F.zip_with("counts", "_counts", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda x, y: x + y)
+    met = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & enough(F.least("shared", "_shared")) & enough(bound)
+    pairs = others.join(own, met).select(F.col("_node").alias("a"), F.col("node").alias("b"))
     roots = components(tree().unionByName(alike(pairs, sets)))
     return nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
 
@@ -431,20 +456,15 @@ def similar(docs: DataFrame, found: DataFrame, width: int = WIDTH, limit: int =
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row of ``docs`` for each component of ``similar``: that of its smallest doc_id.
 
-    Of rows with one doc_id the first by checksum stays.  Rows without doc_id can't name
-    a component: one of each text stays, if no row with a doc_id has that text.
+    Rows without doc_id come last in their component.  Rows of one component with the
+    same doc_id (or none) are told apart by their texts, and those with one text by a
+    checksum of the row, so unlike texts with one doc_id both stay and equal rows leave
+    one.  Null and blank texts are one component.  An empty table gives no rows.
     """
-    with_id = docs.filter("doc_id is not null")
-    found = materialize(sketched(with_id, width))
-    linked = similar(with_id, found, width)
-    once = materialize(linked.groupBy("root").agg(F.min("first").alias("_id")).select("_id").distinct())
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
-    kept = rows.join(once, "_id", "left_semi")
-    if found.select("doc_id").distinct().count() < found.count():
-        order = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
-        kept = kept.withColumn("_k", F.row_number().over(order)).filter("_k = 1")
-    nameless = rows.filter("_id is null")
-    if not nameless.isEmpty():
-        nameless = nameless.dropDuplicates(["_h"]).join(rows.filter("_id is not null").select("_h"), "_h", "left_anti")
-        kept = kept.select("_row").unionByName(nameless.select("_row"))
+    found = materialize(sketched(docs, width))
+    once = materialize(similar(docs, found, width).groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_text"))
+    kept = rows.join(once, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")), "left_semi")
+    if found.select("doc_id", "h").distinct().count() < found.count():
+        kept = kept.groupBy("_own", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return kept.select("_row.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeloom.llm import divergence, hilbert, hmm, langid, mixing, packing, simhash, topk, toxicity, urls
+from tapeloom.llm.common import hook
 from tapeloom.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -120,6 +121,43 @@ def test_near_copies_by_exact_similarity(spark):
     assert len(set(group)) > 60 and {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(group)
 
 
+def test_one_large_group_of_near_copies(spark):
+    """2000 copies of one text with up to seven changed words: components as by all pairs."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(150)]
+    sets, texts = [], []
+    for _ in range(2000):
+        own = list(base)
+        for i in rng.choice(150, int(rng.integers(2, 8)), replace=False):
+            own[i] = f"n{rng.integers(10**7)}"
+        texts.append(" ".join(own))
+    for t in texts:
+        words = t.split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(146)})
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    at = np.zeros((2000, len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        at[i, [number[x] for x in s]] = 1
+    common = at @ at.T
+    size = at.sum(axis=1)
+    parent = np.arange(2000)
+    hook(parent, *np.nonzero(9 * common >= 4 * (size[:, None] + size[None, :])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(parent.tolist())
+    assert 100 < len(want) < 1900 and {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    """Unlike texts with one doc_id both stay; near copies leave one row, with or without ids; equal rows leave one."""
+    near = BASE.replace("and60", "other")
+    far = " ".join(f"far{i}" for i in range(90))
+    lone = " ".join(f"lone{i}" for i in range(60))
+    rows = [(1, BASE, "x"), (1, far, "x"), (1, far, "y"), (2, far, "x"), (None, near, "x"), (None, lone, "x"), (None, lone + " once", "x"), (None, None, "x"), (7, "", "x")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _h string")).collect()
+    got = Counter((r["doc_id"], (r["text"] or "").removesuffix(" once")) for r in kept)
+    assert got == Counter([(1, BASE), (1, far), (None, lone), (7, "")])
+
+
 def test_hilbert_curve_steps_to_neighbours(spark):
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         points = list(itertools.product(range(1 << bits), repeat=dims))
