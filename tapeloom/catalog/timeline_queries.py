@@ -10,6 +10,8 @@ from ..operators import frames as fr
 from ..operators import labels
 from ..operators import packets as pk
 from ..operators import timeline as tl
+from ..operators.scan import running
+from ..session import materialize
 from .evidence_queries import micros
 from .fixtures import packets, shipped, spans, sql_gaps, sql_merge, sql_us, table, us, with_views
 from .frame_queries import DB, RUNS, _CLOCK, _KEEPS, keeps
@@ -226,7 +228,7 @@ def packet_align_groups(spark, sf):
 
 @query("packet_limit_groups")
 def packet_limit_groups(spark, sf):
-    """Fix point over whole groups (brute-force test in tests/test_packets.py)."""
+    """Fix point over whole groups (brute-force test in tests/test_store.py)."""
     g = groups(spark, sf)
     rows = pk.align_groups(g, sources(spark, sf), chunk=2000.0, block=256)
     quiet = packets(spark, sf).where(F.pmod("ordinal", F.lit(9)) < 4).select(
@@ -364,6 +366,101 @@ def packet_payload_digest(spark, sf):
     return pk.payload_digest(_payload(spark, sf), fan=64)
 
 
+# Splices: both streams of a recording in ticks, cut where the aligned keyframe groups are.
+# Video ticks are 1001/30000 s in odd recordings and 1/90000 s in even ones, audio ticks 1/44100 s.
+_TICKS = (
+    "SELECT rec_id, stream, ordinal, CASE WHEN ordinal % 1013 = 7 THEN NULL ELSE CAST(pts AS BIGINT) * den // num + CASE WHEN stream = 'video' THEN ordinal % 3 * 2 ELSE 0 END END AS pts, "
+    "CASE WHEN ordinal % 97 = 5 THEN NULL ELSE CAST(pts AS BIGINT) * den // num - CASE WHEN ordinal % 40 = 0 THEN 3 * den // num ELSE 0 END END AS dts, "
+    "CASE WHEN ordinal % 211 = 3 THEN 0 ELSE CAST(duration AS BIGINT) * den // num END AS duration, num, den, CASE WHEN ordinal % 53 = 0 THEN 0 ELSE size END AS size FROM shipped, "
+    "LATERAL (SELECT unnest(['audio', 'video']) AS stream), LATERAL (SELECT CASE WHEN stream = 'video' AND rec_id % 2 = 1 THEN 1001 ELSE 1 END AS num, "
+    "CASE WHEN stream = 'audio' THEN 44100 WHEN rec_id % 2 = 1 THEN 30000 ELSE 90000 END AS den)"
+)
+_SPLICE = dict(
+    **_ALIGNED,
+    mp="SELECT rec_id, row_number() OVER w - 1 AS seq, s, e, first, stop, coalesce(sum(e - s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM al WINDOW w AS (PARTITION BY rec_id ORDER BY s)",
+    ticks=_TICKS,
+    timed="SELECT * FROM ticks WHERE size > 0 AND pts IS NOT NULL",
+    hit="SELECT t.*, m.seq, m.s, m.e, m.o FROM timed t JOIN mp m ON t.rec_id = m.rec_id AND t.stream = 'video' AND t.ordinal >= m.first AND t.ordinal < m.stop "
+    "UNION ALL SELECT * FROM (SELECT t.*, m.seq, m.s, m.e, m.o FROM (SELECT *, pts * num / den::DOUBLE AS at FROM timed WHERE stream = 'audio' AND duration > 0) AS q "
+    "ASOF JOIN mp m ON q.rec_id = m.rec_id AND q.at + 1e-8 >= m.s JOIN timed t ON t.rec_id = q.rec_id AND t.stream = 'audio' AND t.ordinal = q.ordinal) WHERE pts * num / den::DOUBLE + duration * num / den::DOUBLE <= e + 1e-7",
+    rest="SELECT *, ((CAST(o - s AS BIGINT) * den) % num + num) % num AS r FROM hit",
+    moved="SELECT *, (CAST(o - s AS BIGINT) * den - r) // num AS q FROM rest",
+    kept="SELECT *, q + CASE WHEN 2 * r > num OR (2 * r = num AND q % 2 != 0) THEN 1 ELSE 0 END AS shift FROM moved",
+)
+
+
+def ticked(spark, sf):
+    p = shipped(spark, sf).withColumn("stream", F.explode(F.array(F.lit("audio"), F.lit("video"))))
+    video, odd = F.col("stream") == "video", F.pmod("rec_id", F.lit(2)) == 1
+    p = p.withColumn("num", F.when(video & odd, 1001).otherwise(1).cast("long"))
+    p = p.withColumn("den", F.when(~video, 44100).when(odd, 30000).otherwise(90000).cast("long"))
+    ticks = lambda c: F.expr(f"cast({c} as bigint) * den div num")
+    n = lambda k: F.pmod("ordinal", F.lit(k))
+    return p.select(
+        "rec_id", "stream", "ordinal",
+        F.when(n(1013) != 7, ticks("pts") + F.when(video, n(3) * 2).otherwise(0)).alias("pts"),
+        F.when(n(97) != 5, ticks("pts") - F.when(n(40) == 0, F.expr("3 * den div num")).otherwise(0)).alias("dts"),
+        F.when(n(211) == 3, 0).otherwise(ticks("duration")).alias("duration"), "num", "den",
+        F.when(n(53) == 0, 0).otherwise(F.col("size")).alias("size"),
+    )
+
+
+def splice_mapping(spark, sf):
+    rows = pk.align_groups(groups(spark, sf), sources(spark, sf), chunk=2000.0, block=256)
+    before = {"seq": ("sum", F.lit(1)), "output_start": ("sum", F.col("source_end") - F.col("source_start"))}
+    rows = running(rows, before, ["source_start"], chunk=2000.0)
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    return materialize(rows.select("rec_id", zero("seq", "long"), "source_start", "source_end", zero("output_start", "double"), "first", "stop"))
+
+
+@query(
+    "packet_splice",
+    with_views("SELECT rec_id, stream, ordinal, seq, CAST(pts + shift AS BIGINT) AS output_pts, CAST(dts + shift AS BIGINT) AS output_dts FROM kept", "shipped", **_SPLICE),
+)
+def packet_splice(spark, sf):
+    kept, _ = pk.splice_packets(ticked(spark, sf), splice_mapping(spark, sf), chunk=2000.0, block=256)
+    return kept.select("rec_id", "stream", "ordinal", "seq", "output_pts", "output_dts")
+
+
+@query(
+    "packet_splice_faults",
+    with_views(
+        "SELECT rec_id, stream, ordinal, CAST(NULL AS BIGINT) AS seq, 'no presentation time' AS fault FROM ticks WHERE size > 0 AND pts IS NULL "
+        "UNION ALL SELECT rec_id, stream, ordinal, NULL, 'audio without duration' FROM timed WHERE stream = 'audio' AND duration <= 0 "
+        "UNION ALL SELECT rec_id, stream, ordinal, seq, 'no decode time' FROM kept WHERE dts IS NULL "
+        "UNION ALL SELECT rec_id, stream, ordinal, seq, 'decode time does not rise' FROM (SELECT *, lag(dts + shift) OVER (PARTITION BY rec_id, stream ORDER BY ordinal) AS p FROM kept WHERE dts IS NOT NULL) WHERE dts + shift <= p "
+        "UNION ALL SELECT rec_id, stream, NULL, seq, 'interval without packets' FROM (SELECT rec_id, seq, unnest(['audio', 'video']) AS stream FROM mp EXCEPT SELECT rec_id, seq, stream FROM kept)",
+        "shipped",
+        **_SPLICE,
+    ),
+)
+def packet_splice_faults(spark, sf):
+    return pk.splice_packets(ticked(spark, sf), splice_mapping(spark, sf), chunk=2000.0, block=256)[1]
+
+
+@query(
+    "packet_splice_report",
+    with_views(
+        f"SELECT m.rec_id, count(*) AS segments, {sql_us('sum(e - s)')} AS duration, CAST(sum(coalesce(a, 0)) AS BIGINT) AS audio_packets, CAST(sum(coalesce(v, 0)) AS BIGINT) AS video_packets, "
+        f"coalesce({sql_us('max(greatest(f - s, e - z))')}, -1) AS max_audio_boundary_gap, coalesce({sql_us('sum(b) * 8 / sum(e - s)')}, -1) AS average_bitrate FROM mp m LEFT JOIN ("
+        "SELECT rec_id, seq, count(*) FILTER (stream = 'audio') AS a, count(*) FILTER (stream = 'video') AS v, min_by(pts * num / den::DOUBLE, ordinal) FILTER (stream = 'audio') AS f, "
+        "max_by(pts * num / den::DOUBLE + duration * num / den::DOUBLE, ordinal) FILTER (stream = 'audio') AS z, CAST(sum(size) FILTER (stream = 'audio') AS DOUBLE) AS b FROM kept GROUP BY rec_id, seq) k "
+        "ON k.rec_id = m.rec_id AND k.seq = m.seq GROUP BY m.rec_id",
+        "shipped",
+        **_SPLICE,
+    ),
+)
+def packet_splice_report(spark, sf):
+    mapping = splice_mapping(spark, sf)
+    kept, _ = pk.splice_packets(ticked(spark, sf), mapping, chunk=2000.0, block=256)
+    rows = pk.splice_report(pk.splice_segments(kept, mapping))
+    none = F.lit(-1).cast("long")
+    return rows.select(
+        "rec_id", "segments", us(F.col("duration")).alias("duration"), "audio_packets", "video_packets",
+        *[F.coalesce(us(F.col(c)), none).alias(c) for c in ("max_audio_boundary_gap", "average_bitrate")],
+    )
+
+
 # Chapters: non-overlapping two-second windows with the category of their vector.
 def menu_windows(spark, sf):
     rows = menu_scores(spark, sf, 1.4).withColumn("end", F.col("start") + 2.0).withColumn("_a", labels.identify(F.col("semantic"), _MENU))

@@ -43,3 +43,22 @@ def to_db(rms: Column) -> Column:
 
 def sigmoid(logit: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
+
+
+def whole_ticks(seconds: Column, num: Column, den: Column) -> Column:
+    """Seconds as whole ticks of ``num / den`` seconds, a half to the even tick; without rounding on the way.
+
+    The decimal text of the seconds counts (up to 18 decimals).  ``num`` and ``den`` are
+    positive whole numbers below 10**12, seconds times ``den`` must fit a long.
+    """
+    num, den = num.cast("long"), den.cast("long")
+    exact = seconds.cast("decimal(30,18)")
+    whole = F.floor(exact).cast("long")
+    rest = (exact - whole.cast("decimal(12,0)")).cast("decimal(19,18)") * den.cast("decimal(12,0)")
+    up = F.floor(rest).cast("long")
+    units = whole * den + up
+    over = F.pmod(units, num)
+    ticks = F.call_function("div", units - over, num)
+    twice = 2 * (over.cast("decimal(12,0)") + (rest - up.cast("decimal(14,0)")).cast("decimal(19,18)"))
+    unit = num.cast("decimal(12,0)")
+    return F.when((twice > unit) | ((twice == unit) & (F.pmod(ticks, F.lit(2)) == 1)), ticks + 1).otherwise(ticks)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import whole_ticks
 from ..session import materialize
 from . import frames as fr
 from . import intervals as iv
@@ -277,3 +278,88 @@ def payload_digest(packets: DataFrame, by: Sequence[str] = BY, fan: int = 4096)
             F.sha2(joined, 256).alias("_h"), F.sum("_b").alias("_b"), F.sum("_c").alias("_c")
         ).withColumnRenamed("_up", "_n")
     return nodes.select(*by, F.col("_h").alias("digest"), F.col("_b").alias("bytes"), F.col("_c").alias("packets"))
+
+
+def splice_packets(
+    packets: DataFrame, mapping: DataFrame, by: Sequence[str] = BY, chunk=CHUNK, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """Packets of both streams that a cut keeps, on the output clock in whole ticks, and what forbids copying them.
+
+    ``packets`` is ``(by, stream, ordinal, pts, dts, duration, num, den, size)``: ``stream``
+    is audio or video, ``ordinal`` counts the packets of a stream in decode order, times
+    are ticks of ``num / den`` seconds.  ``mapping`` is ``(by, seq, source_start,
+    source_end, output_start, first, stop)``; ``first`` and ``stop`` are null without video.
+    A video packet belongs to the keyframe groups ``[first, stop)`` that hold its ordinal,
+    an audio packet to the interval that holds it in time.  Both clocks move by the same
+    whole number of ticks.  Packets of no size are skipped.
+
+    The faults (by, stream, ordinal, seq, fault) are packets without a presentation time,
+    audio without duration, kept packets without a decode time or with one that doesn't
+    exceed that of the kept packet before, and intervals that got no packet of a stream.
+    """
+    by = list(by)
+    real = packets.where(F.col("size") > 0)
+    at = lambda c: F.col(c) * F.col("num") / F.col("den")
+    timed = real.where(F.col("pts").isNotNull())
+    audio = timed.where((F.col("stream") == "audio") & (F.col("duration") > 0)).withColumn("_at", at("pts"))
+    row = ["seq", "source_start", "source_end", "output_start"]
+    spans = mapping.select(*by, F.col("source_start").alias("start"), F.col("source_end").alias("end"), *row)
+    heard = covering(audio, spans, at="_at", slack=1e-8, by=by, chunk=chunk).drop("_at")
+    heard = heard.where(at("pts") + at("duration") <= F.col("span.end") + 1e-7)
+    groups = mapping.where(F.col("first").isNotNull()).select(*by, F.col("first").alias("start"), F.col("stop").alias("end"), *row)
+    seen = covering(timed.where(F.col("stream") == "video"), groups, at="ordinal", by=by, chunk=block)
+    seen = seen.where(F.col("ordinal") < F.col("span.end"))
+    plain = lambda df: df.select(*packets.columns, *[F.col(f"span.{c}").alias(c) for c in row])
+    shift = whole_ticks(F.col("output_start") - F.col("source_start"), F.col("num"), F.col("den"))
+    kept = plain(heard).unionByName(plain(seen)).withColumn("_shift", shift)
+    kept = kept.withColumn("output_pts", F.col("pts") + F.col("_shift")).withColumn("output_dts", F.col("dts") + F.col("_shift"))
+    kept = materialize(kept.drop("_shift", *row[1:]))
+
+    named = lambda df, fault: df.select(*by, "stream", "ordinal", F.col("seq").cast("long").alias("seq"), F.lit(fault).alias("fault"))
+    none = F.lit(None).cast("long")
+    silent = timed.where((F.col("stream") == "audio") & ~F.coalesce(F.col("duration") > 0, F.lit(False)))
+    decoded = neighbours(kept.where(F.col("output_dts").isNotNull()), ["ordinal"], before=1, fields=["output_dts"], by=[*by, "stream"], chunk=block)
+    falling = decoded.where(F.col("output_dts") <= F.get("prev", F.lit(0))["output_dts"])
+    wanted = mapping.select(*by, "seq", F.explode(F.when(F.col("first").isNull(), F.array(F.lit("audio"))).otherwise(F.array(F.lit("audio"), F.lit("video")))).alias("stream"))
+    bare = wanted.join(kept.select(*by, "seq", "stream").distinct(), [*by, "seq", "stream"], "left_anti").withColumn("ordinal", none)
+    parts = [
+        named(real.where(F.col("pts").isNull()).withColumn("seq", none), "no presentation time"),
+        named(silent.withColumn("seq", none), "audio without duration"),
+        named(kept.where(F.col("dts").isNull()), "no decode time"),
+        named(falling, "decode time does not rise"),
+        named(bare, "interval without packets"),
+    ]
+    return kept, reduce(DataFrame.unionByName, parts)
+
+
+def splice_segments(kept: DataFrame, mapping: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Per interval of a splice: packets of each stream and the gaps between its ends and its sound, in seconds."""
+    by = list(by)
+    second = lambda ticks: ticks * F.col("num") / F.col("den")
+    sound, picture = F.col("stream") == "audio", F.col("stream") == "video"
+    sums = kept.groupBy(*by, "seq").agg(
+        F.count(F.when(sound, 1)).alias("audio_packets"),
+        F.count(F.when(picture, 1)).alias("video_packets"),
+        F.min_by(second(F.col("pts")), F.when(sound, F.col("ordinal"))).alias("_a"),
+        F.max_by(second(F.col("pts")) + second(F.col("duration")), F.when(sound, F.col("ordinal"))).alias("_z"),
+        F.sum(F.when(sound, F.col("size"))).alias("audio_bytes"),
+    )
+    rows = mapping.select(*by, "seq", "source_start", "source_end").join(sums, [*by, "seq"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.select(
+        *by, "seq", "source_start", "source_end", count("audio_packets"), count("video_packets"), count("audio_bytes"),
+        (F.col("_a") - F.col("source_start")).alias("audio_start_gap"), (F.col("source_end") - F.col("_z")).alias("audio_end_gap"),
+    )
+
+
+def splice_report(segments: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Per recording: intervals, seconds, packets, mean bit rate and ``max_audio_boundary_gap`` of a splice."""
+    seconds = F.sum(F.col("source_end") - F.col("source_start"))
+    return segments.groupBy(*list(by)).agg(
+        F.count(F.lit(1)).alias("segments"),
+        seconds.alias("duration"),
+        F.sum("audio_packets").alias("audio_packets"),
+        F.sum("video_packets").alias("video_packets"),
+        (F.sum("audio_bytes") * 8 / seconds).alias("average_bitrate"),
+        F.max(F.greatest("audio_start_gap", "audio_end_gap")).alias("max_audio_boundary_gap"),
+    )
