@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import identity_key
 from ..operators import scoring as sc
 from ..session import materialize, shared_path
 from ..sources import readers, reports
+from ..streaming import ordered as od
 from ..streaming import runs as st
 from .fixtures import HOP_CHUNK, scored, spans, sql_merge, table, vectors, with_views
 from .registry import query
@@ -156,6 +160,59 @@ def report_cut_list(spark, sf):
     return spark.read.schema(schema).csv(f"{path}/cut_list", header=True).select("rec_id", "seq", "source_start", "source_end")
 
 
+@query(
+    "report_set",
+    with_views(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS report, rec_id, count(*) AS rows, min(format('{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000)) AS first "
+            "FROM (SELECT rec_id, CAST(round_even(s / 1000000.0::DOUBLE * 1000, 0) AS BIGINT) AS a FROM spans) GROUP BY rec_id"
+            for name in reports.REPORTS
+        ),
+        "spans",
+    ),
+)
+def report_set(spark, sf):
+    """All eight reports published as one set, a set whose last report fails, and the reports read back."""
+    root = shared_path(spark, "set")
+    s = spans(spark, sf)
+    at, to = F.col("start") / 1e6, F.col("end") / 1e6
+    rows = s.select(
+        "rec_id", F.col("id").alias("seq"), at.alias("start"), to.alias("end"), at.alias("time"), at.alias("source_start"), to.alias("source_end"), at.alias("output_start"),
+        to.alias("output_end"), (to - at).alias("duration"), F.col("category").alias("reason"),
+    )
+    reports.publish_reports({name: rows for name in reports.REPORTS}, root)
+    broken = rows.withColumn("reason", F.raise_error(F.lit("report lost")).cast("string"))
+    try:
+        reports.publish_reports({name: broken if name == "whisper_list" else rows.limit(0) for name in reports.REPORTS}, root)
+    except Exception as error:  # the reader below must find the first set
+        if "report lost" not in str(error):
+            raise
+    parts = []
+    for name, (clocks, _) in reports.REPORTS.items():
+        got = reports.published_report(spark, root, name)
+        parts.append(got.groupBy("rec_id").agg(F.count(F.lit(1)).alias("rows"), F.min(clocks[0]).alias("first")).select(F.lit(name).alias("report"), "rec_id", "rows", "first"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "score_durable",
+    with_views("SELECT vec_id, (CAST(s * 10 AS BIGINT) * 7 + CAST(e * 10 AS BIGINT)) % 100 AS score FROM vectors", "vectors"),
+)
+def score_durable(spark, sf):
+    """Scored in committed batches, then asked for again with a scorer that fails: nothing is left to score."""
+    root = shared_path(spark, "store")
+    w = vectors(spark, sf).select("rec_id", "start", "end", "vec_id")
+    sc.score_durably(w, root, spot, "m1", batch_rows=max(1, w.count() // 4))
+
+    def lost(batches):
+        for batch in batches:
+            raise RuntimeError(f"{len(batch)} windows scored twice")
+            yield batch
+
+    rows = sc.score_durably(w, root, lost, "m1")
+    return rows.select("vec_id", F.round(F.col("scores")["spot"] * 100).cast("long").alias("score"))
+
+
 @query("identity_key", "SELECT doc_id, sha256('{\"p0\":' || doc_id || ',\"p1\":\"' || lang || '\"}') AS key FROM documents")
 def identity_key_query(spark, sf):
     return table(spark, sf, "documents").select("doc_id", identity_key("doc_id", "lang").alias("key"))
@@ -232,6 +289,25 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(static.schema).parquet(f"{sf}/{name}*.parquet")
 
 
+def _mixed(spark, frames, rec, files: int = 6, jitter: int = 240):
+    """Rows in ``files`` micro-batches, each row up to ``jitter`` seconds late, then one row of ``rec`` that lets the watermark pass all of them."""
+    folder = shared_path(spark, "late")
+    lateness = F.pmod(F.xxhash64(*[c for c, kind in frames.dtypes if not kind.startswith("array")]), F.lit(jitter))
+    seen = F.unix_seconds("ts") + lateness
+    rows = materialize(frames.withColumn("_seen", seen))
+    low, high = rows.agg(F.min("_seen"), F.max("_seen")).first()
+    width = (high - low) // files + 1
+    for k in range(files):
+        rows.where(F.floor((F.col("_seen") - low) / width) == k).drop("_seen").write.parquet(f"{folder}/{k:03d}")
+    last = rows.agg(F.max("ts").alias("t"))
+    blank = {"string": F.lit(""), "boolean": F.lit(False)}
+    value = lambda kind: blank.get(kind, F.array() if kind.startswith("array") else F.lit(0)).cast(kind)
+    known = {"rec_id": F.lit(rec).cast(frames.schema["rec_id"].dataType), "ts": F.col("t") + F.make_dt_interval(days=F.lit(1))}
+    last.select(*[known.get(c, value(kind)).alias(c) for c, kind in frames.dtypes]).write.parquet(f"{folder}/{files:03d}")
+    schema = rows.drop("_seen").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(f"{folder}/*")
+
+
 def _drain(stream, mode="append"):
     """Run a stream over all available files and return its output table."""
     spark = stream.sparkSession
@@ -250,8 +326,9 @@ def _drain(stream, mode="append"):
     "SELECT event_type AS rec_id, CAST(epoch_us(ts) // 600000000 AS BIGINT) AS slot, count(*) AS n, CAST(round(max(value) * 100) AS BIGINT) AS top FROM events GROUP BY event_type, epoch_us(ts) // 600000000",
 )
 def stream_window_scores(spark, sf):
-    e = _stream(spark, sf, "events").select(F.col("event_type").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = _drain(st.stream_scores(e, "10 minutes"), "complete")
+    """Late events in micro-batches; a window is emitted once, when the watermark has passed it."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = _drain(st.stream_scores(_mixed(spark, e, "end"), "10 minutes", watermark="10 minutes"))
     slot = F.floor(F.unix_micros("start") / 600000000).cast("long")
     return out.select("rec_id", slot.alias("slot"), "n", F.round(F.col("top") * 100).cast("long").alias("top"))
 
@@ -265,8 +342,9 @@ def stream_window_scores(spark, sf):
     ),
 )
 def stream_merge_spans(spark, sf):
-    e = _stream(spark, sf, "events").select(F.col("event_type").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("seconds"))
-    out = _drain(st.stream_merge(e, 2.0), "complete")
+    """Late events in micro-batches; a session is emitted once, when the watermark has passed it."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("seconds"))
+    out = _drain(st.stream_merge(_mixed(spark, e, "end"), 2.0))
     return out.select("rec_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"))
 
 
@@ -275,8 +353,9 @@ def stream_merge_spans(spark, sf):
     "SELECT rec_id, event_id AS ordinal FROM (SELECT user_id AS rec_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE value <= p",
 )
 def stream_order_check(spark, sf):
-    e = _stream(spark, sf, "events").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("ordinal"), F.col("value").alias("pts"))
-    return _drain(st.stream_order_check(e)).select("rec_id", "ordinal")
+    """Late packets in micro-batches, checked in the order of their numbers."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ordinal"), F.col("value").alias("pts"))
+    return _drain(od.order_violations(_mixed(spark, e, -1), "10 minutes")).where("rec_id >= 0").select("rec_id", "ordinal")
 
 
 _OPEN = "SELECT rec_id, g, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY rec_id, q ORDER BY i) AS g FROM f) WHERE q GROUP BY rec_id, g"
@@ -291,13 +370,13 @@ _OPEN = "SELECT rec_id, g, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_
     ),
 )
 def stream_quiet_runs(spark, sf):
-    """All runs; the last frame of a recording closes the open one."""
-    e = _stream(spark, sf, "events")
+    """All runs of late frames in micro-batches; the last frame of a recording closes the open one."""
+    e = table(spark, sf, "events")
     frames = e.select(
         F.expr("event_id div 500").cast("string").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.pmod("event_id", F.lit(500)).alias("frame_idx"), (F.col("value") < 10).alias("quiet"), (F.pmod("event_id", F.lit(500)) == 499).alias("last"),
     )
-    return _drain(st.stream_quiet_runs(frames))
+    return _drain(od.quiet_runs(_mixed(spark, frames, "end"), watermark="10 minutes")).where("rec_id <> 'end'")
 
 
 @query(
@@ -312,3 +391,68 @@ def stream_block_gaps(spark, sf):
         (F.col("event_id") * 2 + F.pmod("event_id", F.lit(7)) * 10).alias("first_sample"), (F.pmod("event_id", F.lit(9)) * 100).alias("length"),
     )
     return _drain(st.stream_block_gaps(e, 50))
+
+
+# Blocks of a recording: 500 events each, up to eight samples a block, some trimmed, some after a hole.
+_BLOCKS = dict(
+    f="SELECT event_id // 500 AS rec_id, event_id % 500 AS i, ts, event_id % 500 * 5 + event_id % 13 * 4 AS b, event_id % 9 AS n, event_id % 7 + 1 AS v FROM events",
+    c="SELECT *, greatest(0, coalesce(max(b + n) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS cur FROM f",
+    lim="SELECT rec_id, CAST(2600 AS BIGINT) AS lim, max(b + n) AS stop FROM f GROUP BY rec_id",
+    keep="SELECT c.rec_id, greatest(b, cur) AS a, least(b + n, lim) AS z, v FROM c JOIN lim USING (rec_id) WHERE least(b + n, lim) > greatest(b, cur)",
+    gap="SELECT c.rec_id, cur AS a, b AS z, lim FROM c JOIN lim USING (rec_id) WHERE b > cur UNION ALL SELECT rec_id, stop, lim, lim FROM lim WHERE lim > stop",
+)
+
+
+def _late_blocks(spark, sf):
+    e = table(spark, sf, "events")
+    n = lambda k: F.pmod("event_id", F.lit(k))
+    return e.select(
+        F.expr("event_id div 500").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), n(500).alias("block_idx"), (n(500) * 5 + n(13) * 4).alias("first_sample"),
+        F.array_repeat((n(7) + 1).cast("double"), n(9).cast("int")).alias("samples"), F.lit(2600).cast("long").alias("limit"), (n(500) == 499).alias("last"),
+    )
+
+
+@query(
+    "stream_block_repair",
+    with_views(
+        "SELECT rec_id, 'sound' AS kind, CAST(sum(z - a) AS BIGINT) AS samples, CAST(sum((z - a) * v + a) AS BIGINT) AS mark FROM keep GROUP BY rec_id "
+        "UNION ALL SELECT rec_id, 'filler', CAST(sum(least(z, lim) - a) AS BIGINT), CAST(0 AS BIGINT) FROM gap WHERE least(z, lim) > a GROUP BY rec_id "
+        "UNION ALL SELECT rec_id, 'hole', count(*), CAST(sum(a * 7 + z) AS BIGINT) FROM gap WHERE z - a > 25 GROUP BY rec_id",
+        **_BLOCKS,
+    ),
+)
+def stream_block_repair(spark, sf):
+    """Late blocks repaired in the stream; sums of the sound, of the filler and of the side table of holes."""
+    out = materialize(_drain(od.repaired_blocks(_mixed(spark, _late_blocks(spark, sf), -1), 25, watermark="10 minutes")).where("rec_id >= 0"))
+    samples, holes = od.split_outputs(out)
+    size = F.size("samples").cast("long")
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    kind = F.when(F.col("filler"), "filler").otherwise("sound")
+    mark = F.sum(F.when(F.col("filler"), F.lit(0.0)).otherwise(total + F.col("first_sample"))).cast("long")
+    sums = samples.groupBy("rec_id", kind.alias("kind")).agg(F.sum(size).alias("samples"), mark.alias("mark"))
+    return sums.unionByName(holes.groupBy("rec_id").agg(F.lit("hole").alias("kind"), F.count(F.lit(1)).alias("samples"), F.sum(F.col("start") * 7 + F.col("end")).alias("mark")))
+
+
+@query(
+    "stream_quiet_meter",
+    with_views(
+        "SELECT rec_id, CAST(round(coalesce(max(e - s), 0) * 100) AS BIGINT) AS longest, coalesce(max(e - s), 0) <= 0.5 + 1e-6 AS within, count(*) FILTER (e - s > 0.5 + 1e-6) AS runs FROM ("
+        "SELECT rec_id, min(i) / 100.0::DOUBLE AS s, (max(i) + 1) / 100.0::DOUBLE AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY rec_id, q ORDER BY i) AS g FROM f) WHERE q GROUP BY rec_id, g "
+        "UNION ALL SELECT DISTINCT rec_id, 0, 0 FROM f) GROUP BY rec_id",
+        f="SELECT event_id // 500 AS rec_id, event_id % 500 AS i, value < 14 AS q FROM events",
+    ),
+)
+def stream_quiet_meter(spark, sf):
+    """An event is ten samples of two channels, cut into blocks of seven and three samples; windows are ten samples."""
+    e = table(spark, sf, "events")
+    level = F.when(F.col("value") < 14, 0.0001).otherwise(0.5)
+    sides = lambda size: F.array(F.array_repeat(level, size), F.array_repeat(-level, size))
+    blocks = e.select("*", F.posexplode(F.array(sides(7), sides(3))).alias("k", "samples"))
+    n = F.pmod("event_id", F.lit(500))
+    blocks = blocks.select(
+        F.expr("event_id div 500").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), (n * 2 + F.col("k")).alias("block_idx"), "samples", ((n == 499) & (F.col("k") == 1)).alias("last")
+    )
+    out = _drain(od.live_quiet_meter(_mixed(spark, blocks, -1), 1000, -40.0, 0.5, 0.01, watermark="10 minutes")).where("rec_id >= 0")
+    return out.groupBy("rec_id").agg(
+        F.round(F.max("longest") * 100).cast("long").alias("longest"), F.bool_and(F.coalesce("within", F.lit(True))).alias("within"), F.count(F.when(F.col("kind") == "run", 1)).alias("runs")
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.clock import sigmoid, span_key
 from ..session import attach, materialize
+from ..sources import published as pb
 from . import intervals as iv
 from .scan import CHUNK, running
 
@@ -67,6 +68,54 @@ def _memoise(keyed, payload, cache, scorer, model, required, by):
     return rows, fresh.withColumn("model", F.lit(model)).select(*lookup, "model", "scores")
 
 
+STORED = "key string, model string, scores map<string,double>, scored_at timestamp"
+
+
+def stored_scores(spark, root: str, keys: str = "rec_id string") -> DataFrame:
+    """The committed rows of a score store: ``keys``, key, model, scores, scored_at."""
+    return pb.published(spark, root, "scores", f"{keys}, {STORED}")
+
+
+def score_durably(
+    windows: DataFrame, root: str, scorer: Scorer, model: str, batch_rows: int = 1_000_000, required: Sequence[str] = (), by: Sequence[str] = BY
+) -> DataFrame:
+    """Score what the store at ``root`` lacks, one committed batch of distinct windows after the other.
+
+    A batch that fails ends the run with its error; the batches before it are committed
+    and a later run scores only the rest.  Rows of other models stay in the store and
+    don't count.  Returns every requested row with its scores, as ``score_missing`` does.
+    """
+    by = list(by)
+    spark = windows.sparkSession
+    keys = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in by)
+    lookup = [*by, "key"]
+    keyed = windows.withColumn("key", span_key(F.col("start"), F.col("end")))
+    known = lambda: valid_cache(stored_scores(spark, root, keys), model, required)
+    asked = keyed.groupBy(*lookup).agg(F.first("start").alias("start"), F.first("end").alias("end"))
+    pending = materialize(asked.join(known().select(*lookup), lookup, "left_anti"))
+    count = pending.count()
+    batches = -(-count // batch_rows)
+    part = F.pmod(F.xxhash64(*lookup), F.lit(max(batches, 1)))
+    fields = [pending.schema[c] for c in lookup] + [T.StructField("scores", T.MapType(T.StringType(), T.DoubleType()))]
+    for number in range(batches):
+        fresh = pending.where(part == number).mapInPandas(scorer, T.StructType(fields))
+        pb.appended(spark, root, "scores", fresh.select(*lookup, F.lit(model).alias("model"), "scores", F.current_timestamp().alias("scored_at")))
+    newest = known().groupBy(*lookup).agg(F.max_by("scores", F.struct("scored_at", F.to_json("scores"))).alias("scores"))
+    return keyed.join(newest, lookup, "left").drop("key")
+
+
+def compact_scores(spark, root: str, models: Sequence[str], keys: str = "rec_id string", files: int = 8) -> int:
+    """Rewrite the store as one folder with the newest row of each key and model, of the named models only."""
+    names = [f.name for f in T.StructType.fromDDL(keys).fields]
+    newest = lambda df: (
+        df.where(F.col("model").isin(list(models)))
+        .groupBy(*names, "key", "model")
+        .agg(F.max_by(F.struct("scores", "scored_at"), F.struct("scored_at", F.to_json("scores"))).alias("_s"))
+        .select(*names, "key", "model", "_s.scores", "_s.scored_at")
+    )
+    return pb.compacted(spark, root, "scores", f"{keys}, {STORED}", newest, files)
+
+
 def cosine_scores(vectors: DataFrame, prompts: DataFrame, cap: int = 65536) -> DataFrame:
     """Similarity of every window vector with every prompt, in prompt order, as ``values``.
 

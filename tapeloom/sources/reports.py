@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import format_clock
 from ..operators.chapters import chapter_text
+from . import published as pb
 
 # Report name -> (clock columns, other columns).
 REPORTS = {
@@ -37,6 +38,26 @@ def write_reports(tables: dict[str, DataFrame], path: str, by: Sequence[str] = (
         overwrite_partitions(report_table(df, name, by), f"{path}/{name}", by, "csv", header="true")
 
 
+def publish_reports(tables: dict[str, DataFrame], root: str, by: Sequence[str] = ("rec_id",), note: dict | None = None) -> int:
+    """All reports of a run as one set: readers see the old set until the last one is written; returns the set's number."""
+    if not tables:
+        raise ValueError("a set has at least one report")
+
+    def writer(name, df):
+        rows = report_table(df, name, by)
+        return lambda path: rows.write.partitionBy(*by).csv(path, header=True)
+
+    spark = next(iter(tables.values())).sparkSession
+    return pb.publish(spark, root, {name: writer(name, df) for name, df in tables.items()}, note)
+
+
+def published_report(spark: SparkSession, root: str, name: str, by: str = "rec_id string", number: int | None = None) -> DataFrame:
+    """A report of the current (or an older) set, all columns as text."""
+    clocks, others = REPORTS[name]
+    schema = ", ".join(f"`{c}` string" for c in (*clocks, *others))
+    return pb.published(spark, root, name, f"{schema}, {by}", "csv", number, header=True)
+
+
 def write_chapters(rows: DataFrame, path: str, by: Sequence[str] = ("rec_id",)) -> None:
     """Chapters as JSON, as lines of text and as CSV."""
     overwrite_partitions(rows, f"{path}/json", by, "json")

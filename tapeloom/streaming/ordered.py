@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,15 @@ def durable_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _plain(value):
+    """Lists and numbers of Python for what a batch holds, the form in which state is kept."""
+    if isinstance(value, np.ndarray):
+        return [_plain(x) for x in value] if value.dtype == object else value.tolist()
+    if isinstance(value, list | tuple):
+        return [_plain(x) for x in value]
+    return value
+
+
 class Scan:
     """What an ordered scan does with rows in order.
 
@@ -64,14 +74,14 @@ class _Ordered(StatefulProcessor):
     def init(self, handle) -> None:
         self._handle = handle
         self._pending = handle.getListState("waiting", self._waiting)
-        self._carried = handle.getValueState("carried", f"cursor long, newest long, {self._scan.state}")
+        self._carried = handle.getValueState("carried", f"row_next long, row_newest long, {self._scan.state}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = []
         for part in rows:
-            times = (part["_ts"].to_numpy("datetime64[us]").astype("int64") // 1000).tolist()
-            fields = [part[c].tolist() for c in self._scan.columns]
-            fresh.extend(zip(part["_at"].tolist(), times, part["_end"].tolist(), *fields, strict=True))
+            times = (part["row_ts"].to_numpy("datetime64[us]").astype("int64") // 1000).tolist()
+            fields = [[_plain(v) for v in part[c].tolist()] for c in self._scan.columns]
+            fresh.extend(zip(part["row_at"].tolist(), times, part["row_end"].tolist(), *fields, strict=True))
         yield self._release(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -132,10 +142,10 @@ def ordered(
     durable_state(frames.sparkSession)
     end = F.coalesce("last", F.lit(False)) if "last" in frames.columns else F.lit(False)
     slim = frames.withWatermark("ts", watermark).select(
-        by, F.col(index).cast("long").alias("_at"), F.col("ts").alias("_ts"), end.alias("_end"), *scan.columns
+        by, F.col(index).cast("long").alias("row_at"), F.col("ts").alias("row_ts"), end.alias("row_end"), *scan.columns
     )
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    waiting = ", ".join(["at long", "ms long", "ended boolean", *(f"`{c}` {kinds[c]}" for c in scan.columns)])
+    waiting = ", ".join(["row_at long", "row_ms long", "row_end boolean", *(f"`{c}` {kinds[c]}" for c in scan.columns)])
     output = T.StructType.fromDDL(f"`{by}` {kinds[by]}, {scan.output}")
     processor = _Ordered(scan, waiting, output.names, start, idle_ms)
     return slim.groupBy(by).transformWithStateInPandas(processor, output, "append", "EventTime")
@@ -250,8 +260,6 @@ class QuietMeter(Scan):
         return ([], 0.0, 0, cursor + filled, start, longest), out
 
     def step(self, held, index, row):
-        import numpy as np
-
         channels = np.array([np.asarray(c, dtype=np.float64) for c in row[0]])
         out, at, total = [], 0, channels.shape[1] if channels.ndim == 2 else 0
         while at < total:

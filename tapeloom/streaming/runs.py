@@ -1,8 +1,8 @@
-"""Streaming forms of the ordered scans.
+"""Streaming windows, sessions and block reports; scans in order are in ``ordered``.
 
 Inputs are streaming DataFrames; outputs are streaming DataFrames to be written
-with a checkpoint location, which also makes a scan resumable: finished files
-are not read again after a restart.
+in append mode with a checkpoint location: windows and sessions are emitted once,
+when the watermark has passed them, and leave the state.
 """
 
 from __future__ import annotations
@@ -15,53 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_quiet_runs(frames: DataFrame, min_frames: int = 1, watermark: str = "10 seconds", flush_ms: int = 60_000) -> DataFrame:
-    """Quiet runs ``[start, end)`` per recording over ``(rec_id, ts, frame_idx, quiet)``.
-
-    The open run is carried across micro-batches and emitted when it closes.  A frame
-    with ``last`` (an optional column) ends its recording and flushes the open run at
-    once; without one that happens ``flush_ms`` of event time after the newest frame.
-    """
-
-    def emit(rec, runs) -> pd.DataFrame:
-        rows = [(rec, a, b) for a, b in runs if b - a >= min_frames]
-        return pd.DataFrame(rows, columns=["rec_id", "start", "end"])
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rec = key[0]
-        a, b = state.get if state.exists else (-1, -1)
-        if state.hasTimedOut:
-            state.remove()
-            yield emit(rec, [(a, b)] if a >= 0 else [])
-            return
-        rows = pd.concat(list(batches)).sort_values("frame_idx", kind="stable")
-        closed = []
-        for index, quiet in zip(rows["frame_idx"], rows["quiet"]):
-            if a >= 0 and (not quiet or index > b):
-                closed.append((a, b))
-                a = b = -1
-            if quiet:
-                a, b = (index if a < 0 else a), index + 1
-        if "last" in rows.columns and rows["last"].any():
-            closed += [(a, b)] if a >= 0 else []
-            if state.exists:
-                state.remove()
-            yield emit(rec, closed)
-            return
-        state.update((int(a), int(b)))
-        latest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + flush_ms)
-        yield emit(rec, closed)
-
-    return (
-        frames.withWatermark("ts", watermark)
-        .groupBy("rec_id")
-        .applyInPandasWithState(
-            step, "rec_id string, start long, end long", "a long, b long", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
-
-
 def stream_merge(spans: DataFrame, gap_seconds: Column | float = 0.0, watermark: str = "10 minutes") -> DataFrame:
     """Merge timestamped spans ``(rec_id, ts, seconds)`` as sessions of dynamic length.
 
@@ -78,23 +31,6 @@ def stream_merge(spans: DataFrame, gap_seconds: Column | float = 0.0, watermark:
     return merged.select("rec_id", F.col("session_window.start").alias("start"), (F.col("session_window.end") - back).alias("end"), "spans")
 
 
-def stream_order_check(packets: DataFrame) -> DataFrame:
-    """Packets ``(rec_id, ordinal, pts)`` whose time does not exceed the one before."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ordinal", kind="stable")
-        first = state.get[0] if state.exists else float("nan")
-        earlier = rows["pts"].shift(1)
-        earlier.iloc[0] = first
-        bad = rows[rows["pts"] <= earlier].assign(previous=earlier)
-        state.update((float(rows["pts"].iloc[-1]),))
-        yield bad[["rec_id", "ordinal", "pts", "previous"]]
-
-    return packets.groupBy("rec_id").applyInPandasWithState(
-        step, "rec_id long, ordinal long, pts double, previous double", "pts double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def stream_block_gaps(blocks: DataFrame, rate: int, watermark: str = "1 minute") -> DataFrame:
     """Trim overlap and report holes over ``(rec_id, ts, block_idx, first_sample, length)``.
 
