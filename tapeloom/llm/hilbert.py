@@ -78,8 +78,9 @@ def shards(docs: DataFrame, count: int = 8, bits: int = BITS) -> DataFrame:
     rows = materialize(docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32("text").alias("text_crc32")))
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     cells = (1 << bits) - 1
-    width = max((high or 0) - (low or 0), 1)
-    place = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)).cast("double") * cells / F.lit(float(width))), F.lit(0)).cast("int")
+    # In doubles: the ids of a table may lie further apart than a long can say.
+    width = max(float(high or 0) - float(low or 0), 1.0)
+    place = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) * cells / F.lit(width)), F.lit(0)).cast("int")
     octave = F.least(F.length(F.bin("size")) - 1, F.lit(cells))
     for name in ("source", "lang"):
         rows = _ordinal(rows, name, bits)

@@ -10,7 +10,6 @@ one temperature on texts set aside from them.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +29,6 @@ ALPHA, BETA, ABSOLUTE, SQUARED = 0.5, 1.0, 1e-2, 1e-4
 TEMPERATURES = np.exp(np.linspace(np.log(0.05), np.log(5.0), 60))
 #: Characters of a long text are taken in pieces of this size that overlap by two.
 PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
 
 
@@ -174,7 +172,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
             for part in in_slices(batch, 2000):
                 names, scores = [], []
                 for text in part.column(len(keep)).to_pylist():
-                    if weights is None or text is None or not _LETTER.search(text):
+                    if weights is None or text is None or not any(map(str.isalpha, text)):
                         names.append("und")
                         scores.append(0.0)
                         continue

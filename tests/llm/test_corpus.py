@@ -1,6 +1,7 @@
 """Corpus operators against plain loops, on small tables with nulls, ties, repeats and blank texts."""
 
 import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -181,6 +182,38 @@ def test_shards(spark):
     assert hilbert.box(docs.where("doc_id < 10"), hilbert.shards(docs.where("doc_id < 10"))).count() == 8
 
 
+def test_ids_at_both_ends_of_a_long(spark):
+    docs = spark.createDataFrame([(-9 * 10**18, "a", "en", "s", 1), (9 * 10**18, "b", "en", "s", 1), (0, "c", None, "s", 1), (None, "d", "en", "s", 1)], SCHEMA)
+    got = hilbert.shards(docs).collect()
+    assert {(r["doc_id"], r["slot"]) for r in got} == {(-9 * 10**18, 0), (0, 0), (None, 0), (9 * 10**18, 0)} and len({r["shard"] for r in got}) == 4
+
+
+def test_numbers_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ 12 _"), (2, "²é")], "doc_id long, text string")
+    rng = np.random.default_rng(0)
+    model = langid.Model(["en", "fr"], np.ones(langid.WIDTH), rng.normal(size=(langid.WIDTH, 2)), 1.0)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert got[1] == "und" and got[2] in ("en", "fr")
+
+
+def test_top_k_of_any_size_and_repeated_ids(spark):
+    """Components beyond doubles' whole numbers, rows that share an id, equal rows: as plain integers say."""
+    rows = [(i, [float(i % 7), -1.5, 2.0**30 if i % 9 == 0 else 0.25]) for i in range(60)] + [(20, [3.0, 1.0, 2.0**40]), (20, [3.0, 1.0, 2.0**40]), (7, [1.0, 1.0, 1.0]), (-40, [5e18, 1.0]), (3, [-7e17])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [[math.floor(64 * v) for v in x] for _, x in rows]
+    ends = 2**63 - 1
+    want = Counter()
+    for q, (name, _) in enumerate(rows):
+        if name % 20 == 0:
+            scores = [(-sum(a * b for a, b in zip(whole[q], whole[i])), rows[i][0]) for i in range(len(rows)) if i != q]
+            for k, (s, i) in enumerate(sorted(scores)[:20]):
+                want[(name, k + 1, i, max(-ends - 1, min(ends, -s)))] += 1
+    got = Counter(tuple(r) for r in topk.top_k(df).collect())
+    key = lambda c: Counter({(q, k, s): 0 for q, k, _, s in c}.keys())
+    assert key(got) == key(want) and sum(got.values()) == sum(want.values())
+    assert {g for g in got if abs(g[3]) < ends} == {w for w in want if abs(w[3]) < ends}
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (300, 16)).round(2)
