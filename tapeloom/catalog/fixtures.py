@@ -48,8 +48,8 @@ def spans(spark, sf) -> DataFrame:
     )
 
 
-def only(df: DataFrame, category: str) -> DataFrame:
-    return df.where(F.col("category") == category)
+def only(df: DataFrame, *categories: str) -> DataFrame:
+    return df.where(F.col("category").isin(*categories))
 
 
 def days(spark, sf) -> DataFrame:

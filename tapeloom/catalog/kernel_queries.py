@@ -18,7 +18,7 @@ KEPT = with_views(
     "FROM days d LEFT JOIN (SELECT * FROM g WHERE e - s >= 40000000) g ON g.rec_id = d.rec_id GROUP BY d.rec_id",
     "spans",
     "days",
-    p="SELECT rec_id, greatest(s - 5000000, 0) AS s, least(e + 7000000, 86400000000) AS e FROM spans WHERE category = 'error'",
+    p="SELECT rec_id, greatest(s - 5000000, 0) AS s, least(e + 7000000, 86400000000) AS e FROM spans",
     m=sql_merge("p", str(TWENTY)),
     u="SELECT rec_id, 0 AS lo, d AS hi FROM days",
     g=COMP,
@@ -28,7 +28,7 @@ KEPT = with_views(
 @query("kept_time", KEPT)
 def kept_time(spark, sf):
     """Per day: sections left after removing padded, merged speech, and their length."""
-    speech = iv.pad(only(spans(spark, sf), "error"), 5_000_000, 7_000_000, 0, 86_400_000_000)
+    speech = iv.pad(spans(spark, sf), 5_000_000, 7_000_000, 0, 86_400_000_000)
     removed = iv.merge(speech, TWENTY, chunk=C)
     free = iv.complement(removed, days(spark, sf), chunk=C).where(F.col("end") - F.col("start") >= 40_000_000)
     sums = free.groupBy("rec_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.col("end") - F.col("start")).alias("kept"))
@@ -58,8 +58,8 @@ def interval_complement(spark, sf):
 
 _ALL = "u AS (SELECT rec_id, -1 AS lo, 999999999999 AS hi FROM days)"
 _MINUS = dict(
-    l="SELECT rec_id, s, e FROM spans WHERE category IN ('view', 'click')",
-    r="SELECT rec_id, s, e FROM spans WHERE category = 'error'",
+    l="SELECT rec_id, s, e FROM spans WHERE category IN ('view', 'click', 'purchase')",
+    r="SELECT rec_id, s, e FROM spans WHERE category IN ('error', 'signup')",
     ml=sql_merge("l"),
     m=sql_merge("r"),
     u="SELECT rec_id, -1 AS lo, 999999999999 AS hi FROM days",
@@ -79,21 +79,20 @@ _MINUS = dict(
 )
 def interval_subtract(spark, sf):
     s = spans(spark, sf)
-    left = s.where(F.col("category").isin("view", "click"))
-    return iv.subtract(left, only(s, "error"), chunk=C)
+    return iv.subtract(only(s, "view", "click", "purchase"), only(s, "error", "signup"), chunk=C)
 
 
 @query(
     "interval_covers",
     with_views(
-        "SELECT l.id, EXISTS (SELECT 1 FROM spans r WHERE r.rec_id = l.rec_id AND r.category = 'view' "
-        "AND r.s <= l.s AND r.e >= l.e AND l.e > l.s) AS covered FROM spans l WHERE l.category = 'error'",
+        "SELECT l.id, EXISTS (SELECT 1 FROM spans r WHERE r.rec_id = l.rec_id AND r.category IN ('view', 'purchase') "
+        "AND r.s <= l.s AND r.e >= l.e AND l.e > l.s) AS covered FROM spans l WHERE l.category IN ('error', 'click', 'signup')",
         "spans",
     ),
 )
 def interval_covers(spark, sf):
     s = spans(spark, sf)
-    return iv.covered(only(s, "error"), only(s, "view"), eps=0, chunk=C).select("id", "covered")
+    return iv.covered(only(s, "error", "click", "signup"), only(s, "view", "purchase"), eps=0, chunk=C).select("id", "covered")
 
 
 @query(
@@ -101,27 +100,27 @@ def interval_covers(spark, sf):
     with_views(
         'SELECT l.rec_id, l.id AS left_id, r.id AS right_id, greatest(l.s, r.s) AS start, least(l.e, r.e) AS "end" '
         "FROM spans l JOIN spans r ON l.rec_id = r.rec_id AND l.s < r.e AND r.s < l.e AND l.e > l.s AND r.e > r.s "
-        "WHERE l.category = 'click' AND r.category = 'view'",
+        "WHERE l.category IN ('click', 'signup') AND r.category IN ('view', 'error', 'purchase')",
         "spans",
     ),
 )
 def interval_intersect(spark, sf):
     s = spans(spark, sf)
-    pairs = iv.intersect(only(s, "click"), only(s, "view"), chunk=C)
+    pairs = iv.intersect(only(s, "click", "signup"), only(s, "view", "error", "purchase"), chunk=C)
     return pairs.select("rec_id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "start", "end")
 
 
 _OVERLAP = (
     "SELECT l.id, CAST(coalesce(sum(CASE WHEN m.s IS NOT NULL THEN least(l.e, m.e) - greatest(l.s, m.s) END), 0) AS BIGINT) AS overlap, max(l.e - l.s) AS len "
-    "FROM (SELECT * FROM spans WHERE category = 'click') l LEFT JOIN m "
+    "FROM (SELECT * FROM spans WHERE category IN ('click', 'signup')) l LEFT JOIN m "
     "ON l.rec_id = m.rec_id AND l.s < m.e AND m.s < l.e AND l.e > l.s GROUP BY l.id"
 )
-_OTHER = dict(r="SELECT rec_id, s, e FROM spans WHERE category IN ('view', 'error')", m=sql_merge("r"), o=_OVERLAP)
+_OTHER = dict(r="SELECT rec_id, s, e FROM spans WHERE category IN ('view', 'error', 'purchase')", m=sql_merge("r"), o=_OVERLAP)
 
 
 def _click_other(spark, sf):
     s = spans(spark, sf)
-    return only(s, "click"), s.where(F.col("category").isin("view", "error"))
+    return only(s, "click", "signup"), only(s, "view", "error", "purchase")
 
 
 @query("interval_overlap_seconds", with_views("SELECT id, overlap FROM o", "spans", **_OTHER))
@@ -160,7 +159,7 @@ def interval_pad(spark, sf):
 
 _UNITS = (
     "SELECT rec_id, id, s - (id % 3) * 1000 AS s, CASE WHEN id % 50 = 0 THEN s - 1 ELSE e END AS e "
-    "FROM spans WHERE category = 'click'"
+    "FROM spans WHERE category IN ('click', 'purchase')"
 )
 
 
@@ -172,19 +171,19 @@ _UNITS = (
         "AND units.e > units.s GROUP BY units.id",
         "spans",
         units=_UNITS,
-        r="SELECT rec_id, s, e FROM spans WHERE category = 'error'",
+        r="SELECT rec_id, s, e FROM spans WHERE category IN ('error', 'view', 'signup')",
         m=sql_merge("r"),
     ),
 )
 def interval_check_disjoint(spark, sf):
     s = spans(spark, sf)
-    units = only(s, "click").select(
+    units = only(s, "click", "purchase").select(
         "rec_id",
         "id",
         (F.col("start") - F.pmod("id", F.lit(3)) * 1000).alias("start"),
         F.when(F.pmod("id", F.lit(50)) == 0, F.col("start") - 1).otherwise(F.col("end")).alias("end"),
     )
-    return iv.disjoint_violations(units, only(s, "error"), days(spark, sf), ["id"], eps=0, chunk=C).select("id", "rule")
+    return iv.disjoint_violations(units, only(s, "error", "view", "signup"), days(spark, sf), ["id"], eps=0, chunk=C).select("id", "rule")
 
 
 @query(
@@ -197,8 +196,8 @@ def interval_check_disjoint(spark, sf):
         "ON l.rec_id = g.rec_id AND l.s < g.e AND g.s < l.e WHERE l.e > l.s)",
         "spans",
         "days",
-        l="SELECT rec_id, id, s, e FROM spans WHERE category = 'click'",
-        r="SELECT rec_id, s, e FROM spans WHERE category = 'view'",
+        l="SELECT rec_id, id, s, e FROM spans WHERE category IN ('click', 'error')",
+        r="SELECT rec_id, s, e FROM spans WHERE category IN ('view', 'signup', 'purchase')",
         m=sql_merge("r"),
         u="SELECT rec_id, -1 AS lo, 999999999999 AS hi FROM days",
         g=COMP,
@@ -206,7 +205,7 @@ def interval_check_disjoint(spark, sf):
 )
 def interval_split_by(spark, sf):
     s = spans(spark, sf)
-    return iv.split_by(only(s, "click"), only(s, "view"), ["id"], chunk=C).select("id", "start", "end", "permitted")
+    return iv.split_by(only(s, "click", "error"), only(s, "view", "signup", "purchase"), ["id"], chunk=C).select("id", "start", "end", "permitted")
 
 
 @query(
@@ -221,18 +220,18 @@ def interval_split_by(spark, sf):
 )
 def interval_common(spark, sf):
     s = spans(spark, sf)
-    return iv.common(s.where(F.col("category").isin("view", "click")), only(s, "error"), chunk=C)
+    return iv.common(only(s, "view", "click", "purchase"), only(s, "error", "signup"), chunk=C)
 
 
 @query(
     "point_in_range",
     with_views(
         "SELECT r.id AS range_id, p.id AS point_id FROM spans r JOIN spans p ON r.rec_id = p.rec_id "
-        "AND p.s BETWEEN r.s AND r.e WHERE r.category = 'error' AND p.category = 'signup'",
+        "AND p.s BETWEEN r.s AND r.e WHERE r.category IN ('error', 'view') AND p.category IN ('signup', 'click', 'purchase')",
         "spans",
     ),
 )
 def point_in_range(spark, sf):
     s = spans(spark, sf)
-    pairs = joins.stab(only(s, "error"), only(s, "signup"), "start", "start", "end", chunk=C)
+    pairs = joins.stab(only(s, "error", "view"), only(s, "signup", "click", "purchase"), "start", "start", "end", chunk=C)
     return pairs.select(F.col("range.id").alias("range_id"), F.col("point.id").alias("point_id"))

@@ -301,7 +301,7 @@ def _mixed(spark, frames, rec, files: int = 6, jitter: int = 240):
         rows.where(F.floor((F.col("_seen") - low) / width) == k).drop("_seen").write.parquet(f"{folder}/{k:03d}")
     last = rows.agg(F.max("ts").alias("t"))
     blank = {"string": F.lit(""), "boolean": F.lit(False)}
-    value = lambda kind: blank.get(kind, F.array() if kind.startswith("array") else F.lit(0)).cast(kind)
+    value = lambda kind: blank.get(kind, F.array() if kind.startswith("array") else F.lit(1)).cast(kind)
     known = {"rec_id": F.lit(rec).cast(frames.schema["rec_id"].dataType), "ts": F.col("t") + F.make_dt_interval(days=F.lit(1))}
     last.select(*[known.get(c, value(kind)).alias(c) for c, kind in frames.dtypes]).write.parquet(f"{folder}/{files:03d}")
     schema = rows.drop("_seen").schema

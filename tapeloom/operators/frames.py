@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import to_db
-from ..session import materialize
+from ..session import attach, materialize
 from . import intervals as iv
 from .scan import framed, islands, neighbours, running
 
@@ -36,20 +36,25 @@ def regularize_blocks(
     Overlap with earlier samples is trimmed, holes are filled with zeros and the
     output ends at ``limit``.  Returns the blocks and the violations: holes
     (inside or at the end) longer than one second, unless ``tolerant``.  Filler
-    is cut into pieces of one second.
+    is cut into pieces of one second.  ``block_idx`` is unique in a recording.
+
+    What stays of a block is decided from its index, begin and length alone (``length``
+    is read where the blocks have that column); samples join the decision last.
     """
     by = list(by)
-    size = F.size("samples").cast("long")
-    rows = blocks.select(*by, "block_idx", "first_sample", (F.col("first_sample") + size).alias("_stop"), "samples")
+    size = F.col("length") if "length" in blocks.columns else F.size("samples")
+    rows = blocks.select(*by, "block_idx", "first_sample", (F.col("first_sample") + size.cast("long")).alias("_stop"))
     rows = running(rows, {"_seen": ("max", F.col("_stop"))}, ["block_idx"], by, block)
     rows = rows.withColumn("_cursor", F.greatest(F.coalesce("_seen", F.lit(0)), F.lit(0)))
-    rows = rows.join(limits.select(*by, "limit"), by)
+    rows = attach(rows, limits.select(*by, "limit"), by, F.col("block_idx"))
     start = F.greatest("first_sample", "_cursor")
     count = F.least("_stop", "limit") - start
-    kept = rows.where(count > 0).select(
+    cut = rows.where(count > 0).select(*by, "block_idx", start.alias("_start"), count.cast("int").alias("_count"))
+    kept = blocks.select(*by, "block_idx", "first_sample", "samples").join(cut, [*by, "block_idx"])
+    kept = kept.select(
         *by,
-        start.alias("first_sample"),
-        F.slice("samples", (start - F.col("first_sample") + 1).cast("int"), count.cast("int")).alias("samples"),
+        F.col("_start").alias("first_sample"),
+        F.slice("samples", (F.col("_start") - F.col("first_sample") + 1).cast("int"), F.col("_count")).alias("samples"),
         F.lit(False).alias("filler"),
     )
     inner = rows.where(F.col("first_sample") > F.col("_cursor")).select(
