@@ -1,16 +1,16 @@
 """Length buckets with the least padding, and token-budget batches inside each bucket.
 
 Lengths are counted over all documents.  Dynamic programming over that histogram
-chooses the upper ends of the buckets: of all choices of at most ``buckets`` ends on
-the grid of lengths, the one with the fewest padding words.  Every document goes to
-the first bucket it fits in and is padded to its end; a batch takes as many documents
-of one bucket as fit the token budget, at least one.
+chooses the upper ends of the buckets: of all choices of at most ``buckets`` ends, the
+one with the fewest padding words.  Every document goes to the first bucket it fits in
+and is padded to its end; a batch takes as many documents of one bucket as fit the
+token budget, at least one.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.session import materialize
@@ -21,25 +21,18 @@ BUCKETS = 12
 BUDGET = 16384
 
 
-def grid(length: Column) -> Column:
-    """Smallest allowed bucket end not below a length, 1 at least: under 512 ends for every doubling of the length."""
-    step = F.greatest(F.length(F.bin(F.greatest(length, F.lit(1)) - 1)) - 9, F.lit(0))
-    unit = F.call_function("shiftleft", F.lit(1).cast("long"), step)
-    return F.greatest(F.ceil(length / unit).cast("long") * unit, F.lit(1).cast("long"))
-
-
 def best_ends(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
-    """Bucket ends with the least padding; ``lengths`` ascending grid ends, with rows and words of each.
+    """Bucket ends with the least padding; ``lengths`` ascending and different, with rows and words of each.
 
     The cost of a bucket (i, j] is end_j * rows - words.  The best split point of a longer
     prefix never lies before that of a shorter one, so each layer is solved by halving.
     """
     n = len(lengths)
-    rows, words = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(sums)]).astype(float)
+    rows, words = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sums)])
     best = lengths * rows[1:] - words[1:]
     chosen = [np.zeros(n, dtype=np.int64)]
     for _ in range(1, min(buckets, n)):
-        now, split = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+        now, split = np.full(n, np.iinfo(np.int64).max), np.zeros(n, dtype=np.int64)
         stack = [(0, n - 1, 0, n - 1)]
         while stack:
             a, b, low, high = stack.pop()
@@ -67,13 +60,17 @@ def best_ends(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets
 
 
 def bucket_ends(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """Ends for a table with a ``length`` column; at most 512 rows per doubling of the length reach the driver."""
-    cells = lengths.groupBy(grid(F.col("length")).alias("end")).agg(F.count("*").alias("rows"), F.sum("length").alias("words"))
+    """Ends for a table with a ``length`` column; texts of length 0 count as 1.
+
+    The histogram reaches the driver: one row per different length, so no more than the
+    words of the longest text, nor than the root of twice the words of all texts.
+    """
+    cells = lengths.groupBy(F.greatest("length", F.lit(1)).cast("long").alias("end")).agg(F.count("*").alias("rows"))
     found = sorted(tuple(r) for r in cells.collect())
     if not found:
         return []
-    ends, rows, words = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
-    return best_ends(ends, rows, words, buckets)
+    ends, rows = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+    return best_ends(ends, rows, ends * rows, buckets)
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -334,6 +334,21 @@ def test_pack(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_pack_long_texts_with_least_padding(spark):
+    rng = np.random.default_rng(5)
+    lengths = [int(x) for x in rng.integers(2000, 40_000, 40)]
+    lengths += lengths[:7] + [0, 0, 3]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(docs, 4, 100_000).collect()
+    own = sorted(max(n, 1) for n in lengths)
+    ends = sorted(set(own))
+    cost = {(i, j): sum(ends[j] - n for n in own if ends[i] < n <= ends[j]) for j in range(len(ends)) for i in range(j)}
+    least = [sum(e - n for n in own if n <= e) for e in ends]
+    for _ in range(3):
+        least = [min([least[j]] + [least[i] + cost[i, j] for i in range(j)]) for j in range(len(ends))]
+    assert sum(r["padding"] for r in rows) == least[-1] + sum(n == 0 for n in lengths) and max(r["bucket_end"] for r in rows) == max(lengths)
+
+
 def test_language_model(spark):
     docs = documents(spark)
     rows = docs.collect()
