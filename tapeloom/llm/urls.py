@@ -2,30 +2,37 @@
 
 Rules (host and path) decide the URLs they fit.  These are also the examples: one
 variable-order Markov model is counted on the accepted URLs and one on the rejected
-ones.  A model keeps the commonest contexts of up to five characters; a character is
-predicted by the longest kept context, interpolated with all shorter ones by the number
-of different characters that followed them.  The difference of both log likelihoods per
-character is turned into a probability on rule-decided URLs that were not counted, and
-decides the other URLs.
+ones.  A model keeps the contexts of up to five characters that were seen often enough; a
+character is predicted by the longest kept context, interpolated with all shorter ones by
+the number of different characters that followed them.  The difference of both log
+likelihoods per character is turned into a probability on rule-decided URLs that were not
+counted, and decides the other URLs.
+
+The commonest contexts travel to the tasks.  A character that needs any other one leaves
+its task as a window of the characters before it; the different windows are joined with
+the table of contexts, and the results with their rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.session import materialize
+from tapeloom.session import attach, materialize
 
 from .common import in_slices
 
 #: Verdict and rule; a rule is a host, which stands for its subdomains too, and the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 ORDER = 5
-#: Contexts that each model keeps; a context must have been seen this often.
-CONTEXTS, SEEN = 20_000, 4
+#: A context must have been seen this often.
+SEEN = 4
+#: Contexts of each model that travel to the tasks; those beyond are joined.
+CACHED = 20_000
 #: Every fifth of the examples, by a hash of the URL, calibrates.
 FOLDS = 5
 BINS, WIDEST = 400, 4.0
@@ -83,8 +90,12 @@ class Model:
 
     contexts: dict[bytes, tuple[int, int, dict[int, int]]]
 
-    def log_likelihood(self, url: bytes) -> float:
-        """Natural log probability of the bytes of a URL and its end."""
+    def log_likelihood(self, url: bytes, open_: list | None = None) -> float:
+        """Natural log probability of the bytes of a URL and its end.
+
+        Bytes whose context ends at one that is not here are left out and appended to
+        ``open_``, if given: (bytes before, byte, length of that context, probability so far).
+        """
         line, total = b"\x02" + url + b"\x03", 0.0
         get = self.contexts.get
         for i in range(1, len(line)):
@@ -92,6 +103,9 @@ class Model:
             for n in range(min(ORDER, i) + 1):
                 found = get(line[i - n : i])
                 if found is None:
+                    if open_ is not None:
+                        open_.append((line[max(0, i - ORDER) : i], byte, n, p))
+                        p = 1.0
                     break
                 seen, kinds, after = found
                 p = (after.get(byte, 0) + kinds * p) / (seen + kinds)
@@ -99,34 +113,77 @@ class Model:
         return total
 
 
-def models(counts: DataFrame, most: int = CONTEXTS) -> dict[str, Model]:
-    """Both models from all counts; each keeps the ``most`` commonest contexts, shorter ones first among equals."""
+def contexts(counts: DataFrame) -> DataFrame:
+    """(verdict, context, seen, after) of the kept contexts; ``after`` lists following bytes with counts, 256 at most."""
     totals = counts.groupBy("verdict", "context").agg(F.sum("c").alias("seen"), F.array_sort(F.collect_list(F.struct("next", "c"))).alias("after"))
-    out = {}
+    return materialize(totals.filter((F.col("seen") >= SEEN) | (F.length("context") == 0)))
+
+
+def models(kept: DataFrame, cached: int = CACHED) -> tuple[dict[str, Model], DataFrame | None]:
+    """Both models of the ``cached`` commonest contexts, shorter ones first among equals, and the table of the others, if any.
+
+    A context is seen no more often than its own end, so the ends of a cached one are cached too.
+    """
+    out, others = {}, []
     for verdict in ("allow", "block"):
-        own = totals.filter((F.col("verdict") == verdict) & ((F.col("seen") >= SEEN) | (F.length("context") == 0)))
-        rows = own.orderBy(F.desc("seen"), F.length("context"), "context").limit(most).collect()
+        own = kept.filter(F.col("verdict") == verdict)
+        rows = own.orderBy(F.desc("seen"), F.length("context"), "context").limit(cached).collect()
         if rows:
             out[verdict] = Model({bytes(r["context"]): (r["seen"], len(r["after"]), {a["next"]: a["c"] for a in r["after"]}) for r in rows})
-    return out
-
-
-def ratios(rows: DataFrame, pair: dict[str, Model], keep: tuple[str, ...]) -> DataFrame:
+        if len(rows) == cached:
+            last = F.struct(F.lit(-rows[-1]["seen"]).cast("long"), F.lit(len(rows[-1]["context"])), F.lit(rows[-1]["context"]))
+            others.append(own.filter(F.struct(-F.col("seen"), F.length("context"), "context") > last))
+    rest = reduce(DataFrame.unionByName, others) if others else None
+    return out, None if rest is None or rest.isEmpty() else rest
+
+
+def resolved(opened: DataFrame, others: DataFrame) -> DataFrame:
+    """(verdict, window, byte, log) of the different windows of ``opened`` for which ``others`` knows more contexts."""
+    once = opened.groupBy("verdict", "window", "byte").agg(F.min("n").alias("n"), F.min("p").alias("p"))
+    tried = once.withColumn("n", F.explode(F.sequence("n", F.length("window"))))
+    tried = tried.withColumn("context", F.expr("substring(window, length(window) - n + 1, n)"))
+    here = F.aggregate("after", F.lit(0).cast("long"), lambda t, x: t + F.when(x["next"] == F.col("byte"), x["c"]).otherwise(0))
+    steps = tried.join(others, ["verdict", "context"]).select("verdict", "window", "byte", "p", F.struct("n", here.alias("c"), F.size("after").alias("kinds"), "seen").alias("step"))
+    each = steps.groupBy("verdict", "window", "byte").agg(F.min("p").alias("p"), F.sort_array(F.collect_list("step")).alias("steps"))
+    p = F.aggregate("steps", F.col("p"), lambda p, s: (s["c"] + s["kinds"] * p) / (s["seen"] + s["kinds"]))
+    return each.select("verdict", "window", "byte", F.log(p).alias("log"))
+
+
+def ratios(rows: DataFrame, pair: dict[str, Model], others: DataFrame | None, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns and ``ratio``, the difference of both log likelihoods per byte (end included); null urls are empty."""
-    accepted, rejected = pair["allow"], pair["block"]
+    whole = others is None
 
     def run(batches):
         import pyarrow as pa
 
+        window = pa.list_(pa.struct([("verdict", pa.string()), ("window", pa.binary()), ("byte", pa.int32()), ("n", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
-            for part in in_slices(batch, 5000):
-                urls = [u or b"" for u in part.column(len(keep)).to_pylist()]
-                found = [(accepted.log_likelihood(u) - rejected.log_likelihood(u)) / (len(u) + 1) for u in urls]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found, pa.float64())], names=[*keep, "ratio"])
+            for part in in_slices(batch, 2000):
+                sums, sizes, opened = [], [], []
+                for url in part.column(len(keep)).to_pylist():
+                    url, total, found = url or b"", 0.0, []
+                    for verdict, sign in (("allow", 1), ("block", -1)):
+                        open_: list = []
+                        total += sign * pair[verdict].log_likelihood(url, None if whole else open_)
+                        found.extend((verdict, *x) for x in open_)
+                    sums.append(total)
+                    sizes.append(len(url) + 1)
+                    opened.append(found)
+                made = [pa.array(sums, pa.float64()), pa.array(sizes, pa.int64()), pa.array(opened, window)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], names=[*keep, "_sum", "_size", "_open"])
 
     slim = rows.select(*keep, F.col("url").cast("binary").alias("url"))
-    schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in keep) + ", ratio double"
-    return slim.mapInArrow(run, schema)
+    schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in keep)
+    read = slim.mapInArrow(run, schema + ", _sum double, _size long, _open array<struct<verdict:string,window:binary,byte:int,n:int,p:double>>")
+    if whole:
+        return materialize(read.select(*keep, (F.col("_sum") / F.col("_size")).alias("ratio")))
+    read = materialize(read.withColumn("_row", F.monotonically_increasing_id()))
+    opened = read.select("_row", F.explode("_open").alias("_o")).select("_row", "_o.*")
+    logs = attach(opened, resolved(opened, others), ["verdict", "window", "byte"], F.col("_row"), how="left")
+    sign = F.when(F.col("verdict") == "allow", 1.0).otherwise(-1.0)
+    more = logs.groupBy("_row").agg(F.sum(sign * F.coalesce("log", F.log("p"))).alias("_more"))
+    both = F.col("_sum") + F.coalesce("_more", F.lit(0.0))
+    return materialize(read.drop("_open").join(more, "_row", "left").select(*keep, (both / F.col("_size")).alias("ratio")))
 
 
 def calibrated(scored: DataFrame) -> tuple[float, float]:
@@ -150,7 +207,7 @@ def calibrated(scored: DataFrame) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def judge(pages: DataFrame, rules=RULES, most: int = CONTEXTS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, cached: int = CACHED) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio, p_allow of every row.
 
     Where no rule fits, ``verdict`` is allow from probability one half on.  Null URLs and
@@ -158,14 +215,14 @@ def judge(pages: DataFrame, rules=RULES, most: int = CONTEXTS) -> DataFrame:
     without examples of both kinds the method allows everything, with a null ratio.
     Repeated rows are judged one by one; an empty table gives no rows.
     """
-    rows = materialize(ruled(pages, rules))
     fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
-    examples = rows.filter("_by_rule is not null")
-    pair = models(materialize(followers(examples.filter(fold != 0))), most)
+    rows = materialize(ruled(pages, rules).withColumn("_counted", fold != 0))
+    kept = contexts(followers(rows.filter("_by_rule is not null and _counted")))
+    pair, others = models(kept, cached)
     if len(pair) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("ratio"), F.lit(None).cast("double").alias("p_allow"))
-    slope, offset = calibrated(ratios(examples.filter(fold == 0), pair, ("_by_rule",)))
-    scored = ratios(rows, pair, ("page_id", "host", "path", "rule", "_by_rule"))
+    scored = ratios(rows, pair, others, ("page_id", "host", "path", "rule", "_by_rule", "_counted"))
+    slope, offset = calibrated(scored.filter("_by_rule is not null and not _counted"))
     p = 1 / (1 + F.exp(-(F.col("ratio") * slope + offset)))
     scored = scored.withColumn("p_allow", p)
     verdict = F.coalesce("_by_rule", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block"))

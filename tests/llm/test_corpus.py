@@ -435,6 +435,45 @@ def test_character_model_against_counts():
     assert model.log_likelihood(b"ab") == pytest.approx(np.log(first) + np.log(p1) + np.log(last))
 
 
+def test_url_contexts_beyond_the_cached_ones(spark):
+    rng = np.random.default_rng(3)
+    bits = ["ab", "ba", "shop", "news", "x1", "é", "-", "/", "p?q="]
+    made = lambda: "".join(rng.choice(bits, int(rng.integers(1, 9))))
+    rows = [(i, f"http://{'abc'[i % 3]}.{('com/fr', 'com/de', 'net/en')[int(rng.integers(3))]}/{made()}") for i in range(400)] + [(900, None), (901, ""), (1, "ba/ba")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    ruled = urls.ruled(pages).withColumn("h", F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS))).collect()
+    seen = {"allow": Counter(), "block": Counter()}
+    for r in ruled:
+        if r["_by_rule"] and r["h"]:
+            line = b"\x02" + r["url"].encode() + b"\x03"
+            seen[r["_by_rule"]].update((line[i - n : i], line[i]) for i in range(1, len(line)) for n in range(min(5, i) + 1))
+
+    def log(verdict, line):
+        total = 0.0
+        for i in range(1, len(line)):
+            p = 1 / 256
+            for n in range(min(5, i) + 1):
+                after = {b: c for (w, b), c in seen[verdict].items() if w == line[i - n : i]}
+                if n and sum(after.values()) < urls.SEEN:
+                    break
+                p = (after.get(line[i], 0) + len(after) * p) / (sum(after.values()) + len(after))
+            total += np.log(p)
+        return total
+
+    whole = sorted(urls.judge(pages).collect(), key=str)
+    parts = sorted(urls.judge(pages, cached=25).collect(), key=str)
+    for rows_ in (whole, parts):
+        assert len(rows_) == len(rows)
+    by_id = {r["page_id"]: r for r in parts if r["page_id"] != 1}
+    for r in (r for r in whole if r["page_id"] != 1):
+        other = by_id[r["page_id"]]
+        assert r["ratio"] == pytest.approx(other["ratio"], abs=1e-9) and r["p_allow"] == pytest.approx(other["p_allow"], abs=1e-6) and r["verdict"] == other["verdict"]
+    for i, url in rows[:40] + rows[400:402]:
+        if i != 1:
+            line = b"\x02" + (url or "").encode() + b"\x03"
+            assert by_id[i]["ratio"] == pytest.approx((log("allow", line) - log("block", line)) / (len(line) - 1), abs=1e-9)
+
+
 def loops(text):
     words = (text or "").encode().split()
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
