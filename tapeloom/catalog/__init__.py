@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = [
-    "kernel_queries", "grid_queries", "label_queries", "evidence_queries", "frame_queries", "transcript_queries",
+    "kernel_queries", "grid_queries", "label_queries", "evidence_queries", "frame_queries", "transcript_queries", "voice_queries",
     "timeline_queries", "plan_queries", "store_queries",
 ]
 

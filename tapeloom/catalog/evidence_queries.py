@@ -304,52 +304,6 @@ def evidence_impact_events(spark, sf):
     return micros(impacts(spark, sf, windows(spark, sf)))
 
 
-_FINE = (
-    "SELECT DISTINCT f.rec_id, f.a AS s, f.b AS e, "
-    + STRONG.replace("lexical", "t.lexical").replace("expressive", "t.expressive").replace("(speech", "(t.speech").replace("soft_laugh", "t.soft_laugh")
-    .replace("'t.soft_laugh'", "'soft_laugh'").replace("loud_laugh", "t.loud_laugh").replace("'t.loud_laugh'", "'loud_laugh'").replace("laughter", "t.laughter")
-    + " AS strong FROM (SELECT rec_id, s + i AS a, least(s + i + 2.0, e) AS b FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS i FROM w WHERE "
-    + STRONG
-    + ")) f JOIN w t ON t.rec_id = f.rec_id AND t.s = f.a"
-)
-_VOICE = dict(
-    w=W,
-    fine=_FINE,
-    fs="SELECT rec_id, s, e FROM fine WHERE strong",
-    fm=sql_merge("fs", "0.35"),
-    alone=f"SELECT rec_id, s, e FROM w WHERE {STRONG} AND greatest(speech, expressive) >= 0.65 AND NOT EXISTS (SELECT 1 FROM fm WHERE fm.rec_id = w.rec_id AND fm.s < w.e AND fm.e > w.s)",
-)
-
-
-@query(
-    "evidence_voice_intervals",
-    with_views(
-        SECONDS + "m",
-        "vectors",
-        w=W,
-        fine=_FINE,
-        fs="SELECT rec_id, s, e FROM fine WHERE strong",
-        fm=sql_merge("fs", "0.35"),
-        alone=f"SELECT rec_id, s, e FROM w WHERE {STRONG} AND greatest(speech, expressive) >= 0.85 AND NOT EXISTS (SELECT 1 FROM fm WHERE fm.rec_id = w.rec_id AND fm.s < w.e AND fm.e > w.s)",
-        parts="SELECT * FROM fm UNION ALL SELECT * FROM alone UNION ALL SELECT rec_id, s, s + 1.5 FROM w WHERE vec_id % 13 = 0 UNION ALL SELECT rec_id, s, e FROM w WHERE vec_id % 29 = 0",
-        m=sql_merge("parts", "0.65"),
-    ),
-)
-def evidence_voice_intervals(spark, sf):
-    return micros(voices(spark, sf))
-
-
-def voices(spark, sf):
-    w = windows(spark, sf)
-    suspects = w.where(p.is_strong_voice(p.Scores.of(w))).select("rec_id", "start", "end")
-    wanted = grids.hop_windows(suspects, 2.0, 1.0, 0.4).distinct()
-    # The supplied vectors stand in for the fine scores: the vector that starts with the window.
-    fine = wanted.join(w.drop("end"), ["rec_id", "start"])
-    uncertain = w.where(F.pmod("vec_id", F.lit(13)) == 0).select("rec_id", "start", (F.col("start") + 1.5).alias("end"))
-    breaks = w.where(F.pmod("vec_id", F.lit(29)) == 0)
-    return ev.voice_intervals(w, fine, uncertain, breaks, chunk=C)
-
-
 _ROLE = "CASE vec_id % 5 WHEN 0 THEN 'before' WHEN 1 THEN 'after' ELSE 'body' END"
 _ACTIVE = "greatest(mouth, heartbeat, tapping, soft_laugh)"
 
@@ -460,12 +414,3 @@ def evidence_detect_whispers(spark, sf):
     shift = F.explode(F.array(F.lit(0.0), F.lit(1.0)))
     fine = w.withColumn("_x", shift).withColumn("start", F.col("start") + F.col("_x")).withColumn("end", F.col("start") + 3.0).drop("_x")
     return micros(ev.detect_whispers(w, fine, chunk=C), "windows")
-
-
-@query("evidence_category_report")
-def evidence_category_report(spark, sf):
-    """All categories of one window table; most have a SQL check of their own above."""
-    w = windows(spark, sf)
-    voice = voices(spark, sf)
-    report = ev.category_report(w, announcements(spark, sf), impacts(spark, sf, w), chunk=C, drink_pattern=_SAID_PATTERN, voice=voice)
-    return micros(report, "category")

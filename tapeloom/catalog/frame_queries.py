@@ -345,15 +345,15 @@ def signal_log_mel(spark, sf):
     return f.select("rec_id", "block_idx", F.size("features").alias("frames"), F.round(total / F.size(flat) * 1000).cast("long").alias("mean"))
 
 
-# Seams: mapped pieces of two blocks each on the output clock (32 samples per second).
+# Seams: every block begins a mapped piece; pieces of 1.25 to 2.75 s follow each other on the output clock (32 samples per second).
 def pieces(spark, sf):
-    v = vectors(spark, sf)
-    rows = v.where(F.pmod("block_idx", F.lit(3)) == 0)
-    at = F.col("block_idx") * 2.0
-    return rows.select("rec_id", at.alias("output_start"), (at + 6.0).alias("output_end"))
+    at = lambda b: b * 2.0 + F.pmod(b * b, F.lit(7)) * 0.25
+    b = F.col("block_idx")
+    return vectors(spark, sf).select("rec_id", at(b).alias("output_start"), at(b + 1).alias("output_end"))
 
 
-_PIECES = "SELECT rec_id, block_idx * 2.0::DOUBLE AS a, block_idx * 2.0::DOUBLE + 6.0::DOUBLE AS z FROM vectors WHERE block_idx % 3 = 0"
+_AT = "({b}) * 2.0::DOUBLE + ({b}) * ({b}) % 7 * 0.25::DOUBLE"
+_PIECES = f"SELECT rec_id, {_AT.format(b='block_idx')} AS a, {_AT.format(b='block_idx + 1')} AS z FROM vectors"
 _RAMPS = (
     "SELECT rec_id, cut, unnest([FALSE, TRUE]) AS incoming, unnest([cut - n, cut]) AS s, unnest([cut, cut + m]) AS e FROM ("
     "SELECT rec_id, CAST(round_even(na * 32, 0) AS BIGINT) AS cut, greatest(1, CAST(round_even(least(0.9::DOUBLE, (z - a) / 4) * 32, 0) AS BIGINT)) AS n, "
@@ -369,8 +369,9 @@ def seam_ramps(spark, sf):
 @query(
     "seam_edge_ramps",
     with_views(
-        'SELECT rec_id, unnest([0, greatest(0, d - n)]) AS start, unnest([n, d]) AS "end", unnest([TRUE, FALSE]) AS incoming FROM ('
-        "SELECT rec_id, CAST(round_even(max(z) * 32, 0) AS BIGINT) AS d, CAST(round_even(0.9::DOUBLE * 32, 0) AS BIGINT) AS n FROM pieces GROUP BY rec_id)",
+        'SELECT rec_id, unnest([0, greatest(0, d - m)]) AS start, unnest([n, d]) AS "end", unnest([TRUE, FALSE]) AS incoming FROM ('
+        "SELECT rec_id, CAST(round_even(max(z) * 32, 0) AS BIGINT) AS d, greatest(1, CAST(round_even(least(0.9::DOUBLE, arg_min(z - a, a) / 4) * 32, 0) AS BIGINT)) AS n, "
+        "greatest(1, CAST(round_even(least(0.9::DOUBLE, arg_max(z - a, a) / 4) * 32, 0) AS BIGINT)) AS m FROM pieces GROUP BY rec_id)",
         "vectors",
         pieces=_PIECES,
     ),
