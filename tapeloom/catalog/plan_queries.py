@@ -25,6 +25,7 @@ from .grid_queries import SECONDS as SEC
 from .grid_queries import seconds
 from .label_queries import CALM_W, semantic_positive_sql
 from .registry import query
+from .transcript_queries import _ALIGNED_WORDS, aligned
 
 OUT = f'SELECT rec_id, {sql_us("s")} AS start, {sql_us("e")} AS "end" FROM '
 C = 600.0
@@ -149,6 +150,12 @@ def episodes(spark, sf):
     return materialize(iv.merge(talk, 1.5, chunk=C))
 
 
+_DENSE = (
+    "(n >= 4 AND stop - s <= 135 AND spoken >= 8 AND spoken / greatest(stop - s, 1) >= 0.15) OR (n >= 3 AND spoken >= 20) "
+    "OR (n >= 2 AND spoken >= 35 AND spoken / greatest(stop - s, 1) >= 0.3)"
+)
+
+
 @query(
     "plan_dense_runs",
     with_views(
@@ -156,7 +163,7 @@ def episodes(spark, sf):
         "spans",
         **_EPISODES,
         g="SELECT rec_id, s, count(*) OVER w AS n, sum(e - s) OVER w AS spoken, max(e) OVER w AS stop FROM ep WINDOW w AS (PARTITION BY rec_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 120 FOLLOWING)",
-        h="SELECT rec_id, s, stop AS e FROM g WHERE (n >= 4 AND stop - s <= 135 AND spoken >= 8 AND spoken / greatest(stop - s, 1) >= 0.15) OR (n >= 3 AND spoken >= 20) OR (n >= 2 AND spoken >= 35 AND spoken / greatest(stop - s, 1) >= 0.3)",
+        h=f"SELECT rec_id, s, stop AS e FROM g WHERE {_DENSE}",
         m=sql_merge("h", "25"),
     ),
 )
@@ -197,18 +204,50 @@ def plan_quiet_cut(spark, sf):
     return cut.select("rec_id", "side", us(F.col("time")).alias("at"), "frame")
 
 
+# Strict plans: talk at the start of every keep, and every turn of the conversations, dealt over the recordings on
+# a clock of an eighth; whispers from parts, music from one market segment, an exclusion for each supplier.
+_DEALT = "(SELECT count(*) FROM supplier)"
+_TURNS = "(s.rec_id * 37 + s.turn * 101) % 600 * 0.5::DOUBLE"
 _STRICT = dict(
     keeps_=_KEEPS,
     n="SELECT rec_id, count(*) AS n FROM shipped GROUP BY rec_id",
-    spoken="SELECT rec_id, s * 0.5::DOUBLE AS s, s * 0.5::DOUBLE + 1.3::DOUBLE AS e FROM keeps_ WHERE s % 240 = 80",
+    aw=_ALIGNED_WORDS,
+    k=f"SELECT s.rec_id * 1000 + s.turn AS rec_id, {_TURNS} + (a - s.s) / 8 AS s, {_TURNS} + (z - s.s) / 8 AS e FROM aw JOIN segments s ON s.rec_id = aw.rec_id AND s.turn = aw.turn WHERE z > a",
+    kg=sql_merge("k", "0.9"),
+    spoken="SELECT rec_id, s * 0.5::DOUBLE AS s, s * 0.5::DOUBLE + 1.3::DOUBLE AS e FROM keeps_ "
+    f"UNION ALL SELECT rec_id // 1000 % {_DEALT}, s, e FROM kg "
+    f"UNION ALL SELECT rec_id % {_DEALT}, {_TURNS}, {_TURNS} + (e - s.s) / 8 FROM segments s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.rec_id = s.rec_id * 1000 + s.turn)",
+    whispers=f"SELECT p_partkey % {_DEALT} AS rec_id, p_size * 6.0::DOUBLE AS s, p_size * 6.0::DOUBLE + p_size % 4 + 0.5::DOUBLE AS e FROM part",
+    music=f"SELECT c_custkey % {_DEALT} AS rec_id, c_nationkey * 12.0::DOUBLE AS s, c_nationkey * 12.0::DOUBLE + 5 AS e FROM customer WHERE c_mktsegment = 'BUILDING'",
+    excluded="SELECT s_suppkey AS rec_id, s_nationkey * 8.0::DOUBLE AS s, s_nationkey * 8.0::DOUBLE + 6 AS e FROM supplier",
 )
 
 
-def _talk(spark, sf, kept=None):
-    """Talk at the start of every keep, or of those that ``kept`` is true for."""
-    k = keeps(spark, sf)
-    k = k if kept is None else k.where(kept)
-    return materialize(k.select("rec_id", (F.col("start") * 0.5).alias("start"), (F.col("start") * 0.5 + 1.3).alias("end")))
+def _turns(spark, sf):
+    """Segments of the conversations on the clocks of the recordings."""
+    at = F.pmod(F.col("rec_id") * 37 + F.col("turn") * 101, F.lit(600)) * 0.5
+    # Under another name, since "start" inside the lambda would mean the new column.
+    on = lambda t: F.col("_at") + (t - F.col("_from")) / 8
+    rows = aligned(spark, sf).withColumn("_at", at).withColumn("_from", F.col("start"))
+    words = F.transform("words", lambda w: w.withField("start", on(w["start"])).withField("end", on(w["end"])))
+    dealt = F.pmod("rec_id", F.lit(table(spark, sf, "supplier").count()))
+    return rows.select(dealt.alias("rec_id"), on(F.col("start")).alias("start"), on(F.col("end")).alias("end"), words.alias("words"))
+
+
+def _masks(spark, sf):
+    """Whispers, music and exclusions."""
+    c = table(spark, sf, "supplier").count()
+    span = lambda key, start, length: (key.alias("rec_id"), start.alias("start"), (start + length).alias("end"))
+    size = F.col("p_size")
+    whispers = table(spark, sf, "part").select(*span(F.pmod("p_partkey", F.lit(c)), size * 6.0, F.pmod(size, F.lit(4)) + 0.5))
+    music = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(*span(F.pmod("c_custkey", F.lit(c)), F.col("c_nationkey") * 12.0, 5.0))
+    excluded = table(spark, sf, "supplier").select(*span(F.col("s_suppkey"), F.col("s_nationkey") * 8.0, 6.0))
+    return whispers, music, excluded
+
+
+def _talk(spark, sf):
+    """Talk at the start of every keep."""
+    return materialize(keeps(spark, sf).select("rec_id", (F.col("start") * 0.5).alias("start"), (F.col("start") * 0.5 + 1.3).alias("end")))
 
 
 def _settings(spark, sf):
@@ -222,21 +261,27 @@ def _settings(spark, sf):
     return materialize(po.resolve_policy(s.select(F.col("s_suppkey").alias("rec_id"), options.alias("options")))[0])
 
 
-def _no_segments(spark):
-    return spark.createDataFrame([], "rec_id long, start double, end double, words array<struct<start:double,end:double,word:string,probability:double>>")
-
-
 @query(
     "plan_strict",
     with_views(
         'SELECT g.rec_id, s AS start, e AS "end" FROM g WHERE (e - s) * 0.5 >= 10',
         "shipped",
+        "segments",
         **_STRICT,
-        ep=sql_merge("spoken", "1.5"),
-        pad="SELECT ep.rec_id, greatest(0, s - 5) AS s, least(n * 0.5::DOUBLE, e + 7) AS e, ep.rec_id % 4 AS gap FROM ep JOIN n ON n.rec_id = ep.rec_id",
-        r0="SELECT rec_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY rec_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= gap THEN 0 ELSE 1 END AS f FROM pad)) GROUP BY rec_id, run",
+        em=sql_merge("spoken", "1.5"),
+        whm=sql_merge("whispers"),
+        always="SELECT rec_id, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi FROM (SELECT DISTINCT rec_id FROM em)",
+        aloud=sql_gaps("whm", "always"),
+        ep="SELECT em.rec_id, greatest(em.s, x.s) AS s, least(em.e, x.e) AS e FROM em JOIN aloud x ON x.rec_id = em.rec_id AND em.s < x.e AND x.s < em.e",
+        ahead="SELECT rec_id, s, count(*) OVER o AS n, sum(e - s) OVER o AS spoken, max(e) OVER o AS stop FROM ep WINDOW o AS (PARTITION BY rec_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 120 FOLLOWING)",
+        dense=f"SELECT rec_id, s, stop AS e FROM ahead WHERE {_DENSE}",
+        runs=sql_merge("dense", "25"),
+        talk="SELECT rec_id, s, e FROM ep UNION ALL SELECT rec_id, s, e FROM runs",
+        pad="SELECT t.rec_id, greatest(0, s - 5) AS s, least(n * 0.5::DOUBLE, e + 7) AS e, t.rec_id % 4 AS gap FROM talk t JOIN n ON n.rec_id = t.rec_id",
+        r0="SELECT rec_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY rec_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= gap THEN 0 ELSE 1 END AS f FROM (SELECT DISTINCT * FROM pad WHERE e > s))) GROUP BY rec_id, run",
+        away="SELECT rec_id, s, e FROM r0 UNION SELECT * FROM music UNION SELECT * FROM excluded",
         w="SELECT rec_id, ordinal, 20 * log10(greatest(max(rms) OVER (PARTITION BY rec_id ORDER BY ordinal ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 1e-10)) AS wide FROM shipped",
-        edges="SELECT r.rec_id, r.s, r.e, n, greatest(0, least(n - 1, CAST(floor(s / 0.5::DOUBLE) AS BIGINT))) AS pa, greatest(0, least(n - 1, CAST(ceil(e / 0.5::DOUBLE) AS BIGINT))) AS pb FROM r0 r JOIN n ON n.rec_id = r.rec_id",
+        edges="SELECT r.rec_id, r.s, r.e, n, greatest(0, least(n - 1, CAST(floor(s / 0.5::DOUBLE) AS BIGINT))) AS pa, greatest(0, least(n - 1, CAST(ceil(e / 0.5::DOUBLE) AS BIGINT))) AS pb FROM away r JOIN n ON n.rec_id = r.rec_id",
         cut="SELECT x.rec_id, x.s, x.e, arg_min(w.ordinal, {'c': greatest(wide, -62) + abs(w.ordinal - pa) * 0.6::DOUBLE, 'o': w.ordinal}) FILTER (w.ordinal BETWEEN greatest(0, pa - 12) AND pa) AS a, "
         "arg_min(w.ordinal, {'c': greatest(wide, -62) + abs(w.ordinal - pb) * 0.6::DOUBLE, 'o': w.ordinal}) FILTER (w.ordinal BETWEEN pb AND least(n - 1, pb + 12)) AS b FROM edges x JOIN w ON w.rec_id = x.rec_id AND w.ordinal BETWEEN pa - 12 AND pb + 12 GROUP BY ALL",
         bl="SELECT rec_id, a AS s, b AS e FROM cut",
@@ -246,9 +291,7 @@ def _no_segments(spark):
     ),
 )
 def plan_strict(spark, sf):
-    talk = _talk(spark, sf, F.pmod("start", F.lit(240)) == 80)  # as its SQL
-    none = talk.where(F.lit(False))
-    return pl.plan_strict(_no_segments(spark), talk, none, none, none, _wide(spark, sf), _facts(spark, sf), _settings(spark, sf), block=256)
+    return pl.plan_strict(_turns(spark, sf), _talk(spark, sf), *_masks(spark, sf), _wide(spark, sf), _facts(spark, sf), _settings(spark, sf), block=256)
 
 
 def _scene_scores(spark, sf):
