@@ -387,6 +387,41 @@ def test_forward_and_counts_against_all_paths():
     assert np.allclose(start, s) and np.allclose(moves, m) and np.allclose(emits, e)
 
 
+def test_rare_words_have_classes(spark):
+    states = [(b"a", 0, 4), (b"a", 1, 1), (b"b", 1, 2), (b"c", 0, 1), (b"d", 0, 1), (b"d", 1, 1), (b"e", 0, 3), (b"e", 1, 3), (b"f", 2, 9)]
+    got = hmm.word_classes(spark.createDataFrame(states, "word binary, state int, n long"), 3).collect()
+    whole, own = Counter(), {}
+    for w, k, n in states:
+        whole[k] += n
+        own.setdefault(w, []).append((k, n))
+    best = {w: min(x, key=lambda kn: (-kn[1] / whole[kn[0]], kn[0])) for w, x in own.items()}
+    want = {w: (sum(n for _, n in own[w]), k + 1 if n >= 2 and 2 * n >= sum(m for _, m in own[w]) else 0) for w, (k, n) in best.items()}
+    assert {bytes(r["word"]): (r["c"], r["class"]) for r in got} == want and len({c for _, c in want.values()}) == 4
+
+    texts = ["x A b x e", "", "zz f f x zz", None, "d d", "x " * 300 + "c " * 40]
+    rows = spark.createDataFrame([(i, False, t.encode() if t is not None else None) for i, t in enumerate(texts)], "doc_id long, held boolean, text binary")
+    encoded = hmm._encode(rows, hmm.Counts([b"x"], np.array([9]), 6, 50, 8)).withColumn("row", F.monotonically_increasing_id())
+    classes = spark.createDataFrame([(w, c, k) for w, (c, k) in want.items()], "word binary, c long, class int")
+    masses = np.array([3.0, 5.0, 7.0, 9.0])
+    for r in hmm._with_classes(encoded, classes, masses, 2).collect():
+        words = (texts[r["doc_id"]] or "").lower().encode().split()
+        tail = [want[w] for w in words if w in want]
+        assert list(r["ids"]) == [0 if w == b"x" else 3 + want[w][1] if w in want else 2 for w in words] + [1]
+        assert (r["rest"], r["seen"]) == (sum(w != b"x" for w in words), len(tail))
+        assert r["logs"] == pytest.approx(sum(np.log10(c + 1) for c, _ in tail)) and r["shares"] == pytest.approx(sum(np.log10((c + 1) / masses[k]) for c, k in tail))
+
+
+def test_words_outside_the_head_tell_states(spark):
+    """Two topics: a marker each in the head, all other words outside it; one state gives the base."""
+    rng = np.random.default_rng(2)
+    topic = lambda k: " ".join("pq"[k] if i % 4 == 0 else f"{'pq'[k]}{n}" for i, n in enumerate(rng.integers(0, 60, 40)))
+    docs = spark.createDataFrame([(i, topic(i % 2)) for i in range(160)], "doc_id long, text string")
+    got = hmm.language_model(docs, states=2, head=2).where("held_out").collect()
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + (6 + 10 * np.log10(2)) * len(got)
+    alone = hmm.language_model(docs, states=1, head=10).where("held_out").collect()
+    assert all(r["score"] == pytest.approx(r["base_score"], rel=1e-3) for r in alone)
+
+
 def test_languages(spark):
     rng = np.random.default_rng(3)
     make = {"aa": ["tha", "ing", "wh"], "bb": ["oui", "eau", "é"], "cc": ["sch", "ung", "ß"]}
