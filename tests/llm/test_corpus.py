@@ -389,7 +389,8 @@ def test_forward_and_counts_against_all_paths():
 
 def test_rare_words_have_classes(spark):
     states = [(b"a", 0, 4), (b"a", 1, 1), (b"b", 1, 2), (b"c", 0, 1), (b"d", 0, 1), (b"d", 1, 1), (b"e", 0, 3), (b"e", 1, 3), (b"f", 2, 9)]
-    got = hmm.word_classes(spark.createDataFrame(states, "word binary, state int, n long"), 3).collect()
+    counts = [(w, *[float(sum(n for v, j, n in states if v == w and j == k)) for k in range(3)]) for w in sorted({w for w, _, _ in states})]
+    got = hmm.word_classes(spark.createDataFrame(counts, "word binary, k0 double, k1 double, k2 double"), 3).collect()
     whole, own = Counter(), {}
     for w, k, n in states:
         whole[k] += n
