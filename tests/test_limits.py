@@ -1,6 +1,7 @@
 """Results that must not depend on caps, cuts of blocks or page sizes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,23 @@ def test_log_mel_says_what_it_cuts(spark):
     assert got == {100: (False, True), 720: (False, False), 1200: (True, False)}
 
 
+def test_log_mel_hands_on_few_windows_at_a_time(spark, monkeypatch):
+    """A batch of many windows must not become one batch of features, each half a megabyte."""
+    rows = [(n, [(n * 31 + i) % 97 - 48 for i in range(600 if n % 5 else 100)]) for n in range(50)]
+    df = spark.createDataFrame(rows, "n int, samples array<int>")
+    got = {r["n"]: r["features"] for r in signal.log_mel(df.coalesce(1), frames=3).collect()}
+    assert {n for n, f in got.items() if f is None} == set(range(0, 50, 5)) and len(got) == 50
+    alone = signal.log_mel(df.where("n = 17"), frames=3).collect()[0]["features"]
+    assert got[17] == alone and len(alone) == 3
+
+    stage = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: stage.append(f) or self)
+    signal.log_mel(df, frames=3)
+    whole = pa.RecordBatch.from_pydict({"n": [r[0] for r in rows], "truncated": [False] * 50, "samples": [r[1] for r in rows]})
+    sizes = [b.num_rows for b in stage[0](iter([whole]))]
+    assert sum(sizes) == 50 and max(sizes) <= 16
+
+
 def test_chunk_in_another_unit_is_an_error(spark):
     df = spark.createDataFrame([("r", 0.0, 86_400_000_000.0)], "rec_id string, start double, end double")
     with pytest.raises(Exception, match="chunks"):
