@@ -235,7 +235,7 @@ def read_resumable_jsonl(spark, sf):
 
 @query(
     "read_scores",
-    "SELECT vec_id // 50 AS rec, CAST((vec_id % 50) * 2 AS BIGINT) AS start, CAST(round(greatest(embedding[1], 0) * 1000000) AS BIGINT) AS mouth FROM embeddings",
+    "SELECT vec_id // 50 AS rec, CAST((vec_id % 50) * 2 AS BIGINT) AS start, CAST(round(greatest(CAST(embedding[1] AS DOUBLE), 0) * 1000000) AS BIGINT) AS mouth FROM embeddings",
 )
 def read_scores(spark, sf):
     """Score documents, one per recording, written as JSON and read back."""
