@@ -28,3 +28,7 @@ def vectors(count):
 
 def test_read_scores_rounds_doubles(spark, tmp_path):
     same(spark, tmp_path, "read_scores", "embeddings", vectors(1500))
+
+
+def test_envelope_is_of_32_bits(spark, tmp_path):
+    same(spark, tmp_path, "seam_apply_envelope", "embeddings", vectors(10000))
