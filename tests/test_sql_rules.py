@@ -32,3 +32,7 @@ def test_read_scores_rounds_doubles(spark, tmp_path):
 
 def test_envelope_is_of_32_bits(spark, tmp_path):
     same(spark, tmp_path, "seam_apply_envelope", "embeddings", vectors(10000))
+
+
+def test_trace_is_of_32_bits(spark, tmp_path):
+    same(spark, tmp_path, "signal_spectral_trace", "embeddings", vectors(12000))
