@@ -239,15 +239,16 @@ def transcript_announced_intent(spark, sf):
 @query(
     "transcript_shift_clock",
     with_views(
-        f"SELECT s.rec_id, s.turn, {sql_us('s.s + s.rec_id * 300')} AS start, {sql_us('s.e + s.rec_id * 300')} AS \"end\", {sql_us('coalesce(w.t, 0)')} AS words FROM segments s "
-        "LEFT JOIN (SELECT rec_id, turn, sum(ws + we + rec_id * 600) AS t FROM timed_words GROUP BY rec_id, turn) w ON w.rec_id = s.rec_id AND w.turn = s.turn",
+        f"SELECT s.rec_id, s.turn, {sql_us('s.s + s.rec_id * 300')} AS start, {sql_us('s.e + s.rec_id * 300')} AS \"end\", coalesce(w.t, 0) AS words FROM segments s "
+        "LEFT JOIN (SELECT rec_id, turn, CAST(sum(u) AS BIGINT) AS t FROM (SELECT *, CAST(round((ws + rec_id * 300.0::DOUBLE) * 1000000) AS BIGINT) + CAST(round((we + rec_id * 300.0::DOUBLE) * 1000000) AS BIGINT) AS u FROM timed_words) GROUP BY rec_id, turn) w ON w.rec_id = s.rec_id AND w.turn = s.turn",
         "segments",
     ),
 )
 def transcript_shift_clock(spark, sf):
     rows = tr.shift_clock(segments(spark, sf), F.col("rec_id") * 300.0)
-    total = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["start"] + w["end"])
-    return rows.select("rec_id", "turn", us(F.col("start")).alias("start"), us(F.col("end")).alias("end"), us(total).alias("words"))
+    # Times are summed as whole microseconds: a sum of doubles would depend on the order.
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + us(w["start"]) + us(w["end"]))
+    return rows.select("rec_id", "turn", us(F.col("start")).alias("start"), us(F.col("end")).alias("end"), total.alias("words"))
 
 
 _LANG = "CASE conv_id % 5 WHEN 0 THEN 'Korean' WHEN 1 THEN 'Japanese' WHEN 2 THEN 'French' WHEN 3 THEN 'English' ELSE '' END"

@@ -36,3 +36,14 @@ def test_envelope_is_of_32_bits(spark, tmp_path):
 
 def test_trace_is_of_32_bits(spark, tmp_path):
     same(spark, tmp_path, "signal_spectral_trace", "embeddings", vectors(12000))
+
+
+def test_shifted_words_add_up_in_any_order(spark, tmp_path):
+    """Recordings far from zero, where sums of doubles lose the last microsecond."""
+    text = " ".join("word" * (1 + i % 3) for i in range(900))
+    n = 400
+    rows = pa.table({
+        "conv_id": pa.array([11000 + 7 * i for i in range(n)], pa.int64()), "turn": pa.array([i % 5 for i in range(n)], pa.int64()),
+        "role": ["user"] * n, "text": [text[: 2000 + i] for i in range(n)],
+    })
+    same(spark, tmp_path, "transcript_shift_clock", "conversations", rows)
