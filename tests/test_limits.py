@@ -1,10 +1,12 @@
 """Results that must not depend on caps, cuts of blocks or page sizes."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.catalog.plan_queries import _noise
 from tapeloom.operators import intervals as iv
 from tapeloom.operators import packets as pk
 from tapeloom.operators import scoring as sc
@@ -92,6 +94,17 @@ def test_log_mel_hands_on_few_windows_at_a_time(spark, monkeypatch):
     assert sum(sizes) == 50 and max(sizes) <= 16
 
 
+def test_noise_is_made_a_few_blocks_at_a_time():
+    rows = pd.DataFrame({"o_orderkey": range(1000), "rec_id": 0, "i": range(1000)})
+    parts = list(_noise(iter([rows])))
+    assert max(map(len, parts)) <= 128
+    whole = pd.concat(parts, ignore_index=True)
+    assert whole["i"].tolist() == list(range(1000))
+    at = lambda n, p: (n * 4000 + (p - p % 32 if 200 <= n % 400 < 240 else p)) * 48271 % 65537 % 8001 - 4000
+    for n in (0, 127, 128, 210, 999):
+        assert np.frombuffer(whole["samples"][n], "<i2").tolist() == [at(n, p) for p in range(4000)]
+
+
 def test_chunk_in_another_unit_is_an_error(spark):
     df = spark.createDataFrame([("r", 0.0, 86_400_000_000.0)], "rec_id string, start double, end double")
     with pytest.raises(Exception, match="chunks"):
