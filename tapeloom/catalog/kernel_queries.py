@@ -105,8 +105,8 @@ def interval_covers(spark, sf):
     ),
 )
 def interval_intersect(spark, sf):
-    s = spans(spark, sf)
-    pairs = iv.intersect(only(s, "click", "signup"), only(s, "view", "error", "purchase"), chunk=C)
+    s = spans(spark, sf).select("rec_id", "id", "category", "start", "end")
+    pairs = iv.intersect(only(s, "click", "signup").drop("category"), only(s, "view", "error", "purchase").drop("category"), chunk=C)
     return pairs.select("rec_id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "start", "end")
 
 
@@ -232,6 +232,6 @@ def interval_common(spark, sf):
     ),
 )
 def point_in_range(spark, sf):
-    s = spans(spark, sf)
-    pairs = joins.stab(only(s, "error", "view"), only(s, "signup", "click", "purchase"), "start", "start", "end", chunk=C)
+    s = spans(spark, sf).select("rec_id", "id", "category", "start", "end")
+    pairs = joins.stab(only(s, "error", "view").drop("category"), only(s, "signup", "click", "purchase").drop("category"), "start", "start", "end", chunk=C)
     return pairs.select(F.col("range.id").alias("range_id"), F.col("point.id").alias("point_id"))

@@ -16,6 +16,9 @@ from .scan import CHUNK, slot
 
 BY = ("rec_id",)
 
+#: Points that travel as one row to the ranges that hold some of them.
+PACK = 256
+
 
 def stab(
     ranges: DataFrame,
@@ -31,6 +34,8 @@ def stab(
     """Pairs ``(range, point)`` with ``lo <= at <= hi`` (open ends on request).
 
     Rows of both sides need orderable columns.  Copies of a range are kept.
+    Points of a chunk are packed in the order of their numbers, a range is sent once
+    per pack, and pairs are made after the join: no pair is shuffled.
     """
     by = list(by)
     numbered = points.select(*by, slot(F.col(at), chunk).alias("_ck"), F.col(at).alias("_t"), F.struct(*points.columns).alias("point"))
@@ -65,10 +70,16 @@ def stab(
         F.max(F.when(F.col("_low"), F.col("_seen"))).alias("_from"),
         F.max(F.when(~F.col("_low"), F.col("_seen"))).alias("_to"),
     )
+    pack = lambda n: F.floor((n - 1) / PACK).cast("long")
+    packs = numbered.groupBy(*by, "_ck", pack(F.col("_i")).alias("_p")).agg(F.sort_array(F.collect_list(F.struct("_i", "point"))).alias("_points"))
     wanted = spans.where(F.col("_to") > F.col("_from")).withColumn(
-        "_i", F.explode(F.sequence(F.col("_from") + 1, F.col("_to")))
+        "_p", F.explode(F.sequence(pack(F.col("_from") + 1), pack(F.col("_to"))))
     )
-    pairs = wanted.join(numbered.drop("_t"), by + ["_ck", "_i"])
+    # Points of a pack have consecutive numbers, so a range holds a slice of it.
+    first = F.greatest(F.col("_from") - F.col("_p") * PACK + 1, F.lit(1)).cast("int")
+    last = F.least(F.col("_to") - F.col("_p") * PACK, F.lit(PACK)).cast("int")
+    pairs = wanted.join(packs, by + ["_ck", "_p"]).select(*by, "range", "_copies", F.explode(F.slice("_points", first, last - first + 1)).alias("_x"))
+    pairs = pairs.select(*by, "range", "_copies", F.col("_x.point").alias("point"))
     return pairs.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*by, "range", "point")
 
 
