@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tapeloom.operators import joins
+from tapeloom.plans import planning as pl
 
 
 def shuffled(spark, work):
@@ -50,3 +51,24 @@ def test_packs_hold_every_pair_once(spark, monkeypatch):
                 if q == r and (a < t if lo_open else a <= t) and (t < b if hi_open else t <= b) and a <= b
             ]
             assert sorted((x["rec_id"], x["range"]["lo"], x["range"]["hi"], x["point"]["i"]) for x in got) == sorted(want)
+
+
+def test_quiet_cut_does_not_repeat_an_edge_for_its_frames(spark):
+    rng = np.random.default_rng(5)
+    wide = [float(x) for x in rng.integers(-80, -20, 400)]
+    # Some frames are missing, and long stretches are equally quiet.
+    known = [f for f in range(400) if f % 11 != 4]
+    levels = spark.createDataFrame([(1, f, wide[f], wide[f]) for f in known], "rec_id int, frame_idx long, db double, wide double")
+    rows = [(1, float(t) / 4, side, 0.5, 400) for t in range(0, 800, 2) for side in ("start", "end")]
+    edges = spark.createDataFrame(rows, "rec_id int, time double, side string, dt double, n long")
+    cut = pl.quiet_cut(edges, levels, ["rec_id", "time", "side"])
+    got, sent = shuffled(spark, lambda: {(r["time"], r["side"]): r["frame"] for r in cut.collect()})
+    want = {}
+    for _, t, side, dt, n in rows:
+        pos = max(0, min(n - 1, int(np.ceil(t / dt) if side == "start" else np.floor(t / dt))))
+        near = range(pos, min(n - 1, pos + 12) + 1) if side == "start" else range(max(0, pos - 12), pos + 1)
+        costs = [(max(wide[f], -62.0) + abs(f - pos) * dt * 1.2, f) for f in near if f % 11 != 4]
+        if costs:
+            want[t, side] = min(costs)[1]
+    assert got == want
+    assert sent < 5 * len(rows)
