@@ -46,8 +46,8 @@ def keyframe_groups(packets: DataFrame, rate=25.0, by: Sequence[str] = BY, block
         "max_end": ("max", F.col("_stop")),
         "_key": ("first", F.col("is_key")),
     }
-    groups = islands(rows, aggs, lambda a, b: b["is_key"], order=["ordinal"], uses=["ordinal", "is_key"], by=by, chunk=block)
-    groups = groups.where("_key").drop("_key")
+    groups = islands(rows, aggs, lambda a, b: b["is_key"], order=["ordinal"], uses=["ordinal", "is_key"], by=by, chunk=block, stored=True)
+    groups = materialize(groups.where("_key").drop("_key"))
     groups = neighbours(groups, ["first"], after=1, fields=["start"], by=by, chunk=block)
     following = F.get("next", F.lit(0))["start"]
     return groups.select(*by, "first", "stop", "start", F.coalesce(following, F.col("max_end")).alias("end"), "min_pts", "max_end")

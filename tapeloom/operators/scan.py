@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CHUNK = 600.0
 
 
@@ -193,12 +195,14 @@ def islands(
     uses: Sequence[str] = ("start", "end"),
     by: Sequence[str] = ("rec_id",),
     chunk=CHUNK,
+    stored: bool = False,
 ) -> DataFrame:
     """Group consecutive rows into runs.
 
     ``breaks(previous, current)`` sees structs with the columns in ``uses`` and
     says whether a new run starts.  ``aggs`` maps an output name to a kind
-    (count, sum, min, max, first, last) and a value.
+    (count, sum, min, max, first, last) and a value.  With ``stored`` the runs of the
+    chunks become a table, so that large inputs are sorted once for both readers.
     """
     by, order = list(by), list(order)
     inside = Window.partitionBy(*by, "_ck").orderBy(*order)
@@ -219,6 +223,8 @@ def islands(
         F.max_by("_cur", position).alias("_last"),
         *[_MERGES[k][0](v, position).alias(n) for n, (k, v) in aggs.items()],
     )
+    if stored:
+        parts = materialize(parts)
     return stitch(parts, breaks, [_MERGES[k][1](F.col(n)).alias(n) for n, (k, _) in aggs.items()], by)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tapeloom.operators import joins
+from tapeloom.operators import packets as pk
 from tapeloom.plans import planning as pl
 
 
@@ -72,3 +73,15 @@ def test_quiet_cut_does_not_repeat_an_edge_for_its_frames(spark):
             want[t, side] = min(costs)[1]
     assert got == want
     assert sent < 5 * len(rows)
+
+
+def test_keyframe_groups_shuffle_packets_once(spark):
+    rows = spark.range(6000).select(
+        F.pmod("id", F.lit(3)).alias("rec_id"), F.expr("id div 3").alias("ordinal"), (F.expr("id div 3") * 2.0).alias("pts"),
+        F.lit(2.0).alias("duration"), (F.pmod(F.expr("id div 3"), F.lit(50)) == 0).alias("is_key"),
+    )
+    got, sent = shuffled(spark, lambda: pk.keyframe_groups(rows, block=128).collect())
+    assert sorted((r["rec_id"], r["first"], r["stop"], r["start"], r["end"]) for r in got) == [
+        (k, a, a + 50, a * 2.0, a * 2.0 + 100) for k in range(3) for a in range(0, 2000, 50)
+    ]
+    assert sent < 2 * 6000
