@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import intervals as iv
 from .frames import output_clock
 from .scan import CHUNK
@@ -25,7 +26,8 @@ def _moved(
     rows: DataFrame, spans: DataFrame, to: str, by: Sequence[str], chunk, limit: str | None = None
 ) -> DataFrame:
     """Clip rows to spans and move them to the clock that begins at column ``to``."""
-    pairs = iv.intersect(rows.select(*by, "start", "end"), spans, by, chunk)
+    # The join reads the spans four times, and these come out of an ordered scan.
+    pairs = iv.intersect(rows.select(*by, "start", "end"), materialize(spans), by, chunk)
     shift = F.col(f"r.{to}") - F.col("r.start")
     end = F.col("end") + shift
     if limit:
