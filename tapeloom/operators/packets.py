@@ -101,7 +101,8 @@ def limit_groups(
     A recording that loses all its groups has no row; see ``limit_status``.
     """
     by = list(by)
-    aligned, quiet = materialize(aligned), materialize(quiet.select(*by, "start", "end"))
+    # United quiet is as good as its pieces, which meet again on the joined clock.
+    aligned, quiet = materialize(aligned), materialize(iv.merge(quiet, 0, by, chunk))
     spans = aligned.select(*by, F.col("analysis_start").alias("start"), F.col("analysis_end").alias("end"))
     _, excess = fr.trim_quiet(spans, quiet, F.lit(float(budget)), False, by, chunk, stored=True)
     touched = materialize(excess.select(*by).distinct())
@@ -128,6 +129,7 @@ def limit_groups(
         (begin + F.col("end") - F.col("start")).alias("end"),
     )
     pieces = materialize(pieces)
+    quiet = materialize(quiet.join(touched, by, "left_semi"))
     settled = []
     while True:
         _, removed = fr.trim_quiet(pieces.select(*by, "start", "end"), quiet, F.lit(float(budget)), False, by, chunk, stored=True)
@@ -141,6 +143,7 @@ def limit_groups(
         moving = materialize(hit.where(F.col("overlap") > 1e-8).select(*by).distinct())
         settled.append(hit.drop("overlap").join(moving, by, "left_anti"))
         pieces = materialize(hit.where(F.col("overlap") <= 1e-8).drop("overlap").join(moving, by, "left_semi"))
+        quiet = materialize(quiet.join(moving, by, "left_semi"))
         if len(settled) >= 16:  # keeps the plan short however many rounds there are
             settled = [materialize(reduce(DataFrame.unionByName, settled))]
     rows = reduce(DataFrame.unionByName, settled)
