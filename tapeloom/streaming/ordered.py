@@ -7,7 +7,8 @@ Rows behind the watermark are dropped by Spark, rows behind the cursor (repeats)
 So every cut into micro-batches whose delays stay inside the watermark gives the result
 of the batch form.
 
-State is bounded: waiting rows by the watermark, the scan's own state by its schema.  A
+State is bounded: waiting rows by the watermark, the scan's own state by its schema.
+Recordings of a shard share one state value, which grows with their number.  A
 row marked ``last`` ends its recording and removes its state; without one a timer does
 so ``idle`` of event time after the newest row.  A query with these operators needs the
 RocksDB state store, which ``durable_state`` sets for the session.
@@ -23,8 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Groups of recordings whose state is one value.
+SHARDS = 2048
+#: Types whose values pandas hands over as those of Python.
+PLAIN = ("int", "bigint", "double", "boolean", "string")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,6 +47,10 @@ def _plain(value):
     return value
 
 
+def _columns(rows: list[tuple], width: int) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(width)]
+
+
 class Scan:
     """What an ordered scan does with rows in order.
 
@@ -64,91 +73,101 @@ class Scan:
         return []
 
 
-class _Ordered(StatefulProcessor):
-    """Buffer, cursor and timers around a ``Scan``."""
-
-    def __init__(self, scan: Scan, waiting: str, names: list[str], start: int | None, idle_ms: int):
-        self._scan, self._waiting, self._names = scan, waiting, names
-        self._start, self._idle = start, idle_ms
-
-    def init(self, handle) -> None:
-        self._handle = handle
-        self._pending = handle.getListState("waiting", self._waiting)
-        self._carried = handle.getValueState("carried", f"row_next long, row_newest long, {self._scan.state}")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for part in rows:
-            times = (part["row_ts"].to_numpy("datetime64[us]").astype("int64") // 1000).tolist()
-            fields = [[_plain(v) for v in part[c].tolist()] for c in self._scan.columns]
-            fresh.extend(zip(part["row_at"].tolist(), times, part["row_end"].tolist(), *fields, strict=True))
-        yield self._release(key, fresh, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._release(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-    def _release(self, key, fresh: list[tuple], watermark: int) -> pd.DataFrame:
-        cursor, newest, *held = self._carried.get() if self._carried.exists() else (self._start, -1, *self._scan.first)
-        held, out, ended = tuple(held), [], False
-        queue = sorted([*(self._pending.get() if self._pending.exists() else ()), *fresh], key=lambda r: r[0])
-        newest = max([newest, *(r[1] for r in fresh)])
-        at = 0
-        for at, row in enumerate(queue):  # noqa: B007
-            index = row[0]
-            if cursor is not None and index < cursor:
-                continue
-            if index != cursor and row[1] > watermark:
-                break
-            held, found = self._scan.step(held, index, row[3:])
-            out.extend(found)
-            # Without a first index the rows have no next one: they wait for the watermark.
-            cursor = index + 1 if self._start is not None else max(index, cursor or index)
-            if row[2]:
-                ended = True
-                break
-        else:
-            at = len(queue)
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        rest = queue[at:]
-        if not ended and not rest and newest + self._idle <= watermark:
+def _release(
+    scan: Scan, held: tuple, cursor: int | None, newest: int, queue: list[tuple], start: int | None, idle_ms: int, watermark: int
+) -> tuple[tuple, int | None, list[tuple], list[tuple], bool]:
+    """Rows that are next in line go through the scan; what is carried, the cursor, the output, the rows that wait on, the end."""
+    out, ended, at = [], False, 0
+    for at, row in enumerate(queue):  # noqa: B007
+        index = row[0]
+        if cursor is not None and index < cursor:
+            continue
+        if index != cursor and row[1] > watermark:
+            break
+        held, found = scan.step(held, index, row[3:])
+        out.extend(found)
+        # Without a first index the rows have no next one: they wait for the watermark.
+        cursor = index + 1 if start is not None else max(index, cursor or index)
+        if row[2]:
             ended = True
-        if ended:
-            out.extend(self._scan.finish(held))
-            self._pending.clear()
-            self._carried.clear()
-        else:
-            if rest:
-                self._pending.put([tuple(r) for r in rest])
-            else:
-                self._pending.clear()
-            self._carried.update((cursor, newest, *held))
-            self._handle.registerTimer(max(min((r[1] for r in rest), default=newest + self._idle), watermark + 1))
-        return pd.DataFrame([(*key, *r) for r in out], columns=self._names)
+            break
+    else:
+        at = len(queue)
+    rest = queue[at:]
+    if not ended and not rest and newest + idle_ms <= watermark:
+        ended = True
+    if ended:
+        out.extend(scan.finish(held))
+    return held, cursor, out, rest, ended
 
 
 def ordered(
-    frames: DataFrame, scan: Scan, index: str, watermark: str, by: str = "rec_id", start: int | None = 0, idle_ms: int = 60_000
+    frames: DataFrame, scan: Scan, index: str, watermark: str, by: str = "rec_id", start: int | None = 0, idle_ms: int = 60_000,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """The rows that ``scan`` emits over ``frames`` (by, ts, index, its columns, optionally last) in the order of the index.
 
     ``start`` is the index of a recording's first row; with it a row is released as soon
     as its predecessor was.  With None indices may have gaps and only the watermark
     releases rows; a row that repeats the newest index is then a row of its own.
+
+    Recordings are dealt over ``shards`` by hash; the cursors, carried values and waiting
+    rows of a shard are one state value, which comes with its rows and goes back once, so
+    a small recording costs no visit of its own.  A restarted stream needs the same number.
     """
     durable_state(frames.sparkSession)
     end = F.coalesce("last", F.lit(False)) if "last" in frames.columns else F.lit(False)
     slim = frames.withWatermark("ts", watermark).select(
-        by, F.col(index).cast("long").alias("row_at"), F.col("ts").alias("row_ts"), end.alias("row_end"), *scan.columns
+        F.pmod(F.xxhash64(by), F.lit(shards)).alias("row_shard"), by, F.col(index).cast("long").alias("row_at"),
+        F.unix_millis("ts").alias("row_ms"), end.alias("row_end"), *scan.columns, F.col("ts").alias("row_ts"),
     )
+    fields = ["row_at", "row_ms", "row_end", *scan.columns]
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    waiting = ", ".join(["row_at long", "row_ms long", "row_end boolean", *(f"`{c}` {kinds[c]}" for c in scan.columns)])
+    # One array for each value of a recording and for each column of the waiting rows; ``wake``: when there is something to do.
+    carried = T.StructType.fromDDL(f"`key` {kinds[by]}, wake long, row_next long, row_newest long, {scan.state}")
+    each = [f"`{f.name}` array<{f.dataType.simpleString()}>" for f in carried.fields]
+    waiting = [f"`wait_{c}` array<{kinds[c]}>" for c in (by, *fields)]
+    kept = T.StructType.fromDDL(", ".join([*each, *waiting]))
     output = T.StructType.fromDDL(f"`{by}` {kinds[by]}, {scan.output}")
-    processor = _Ordered(scan, waiting, output.names, start, idle_ms)
-    return slim.groupBy(by).transformWithStateInPandas(processor, output, "append", "EventTime")
+    size, names = len(each), output.names
+
+    def work(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stored = tuple(state.get) if state.exists else ((),) * len(kept)
+        known = {k: rest for k, *rest in zip(*stored[:size], strict=True)}
+        queues: dict = {}
+        for k, *row in zip(*stored[size:], strict=True):
+            queues.setdefault(k, []).append(tuple(row))
+        fresh = {}
+        for part in parts:
+            columns = [part[c].tolist() if kinds[c] in PLAIN else [_plain(v) for v in part[c].tolist()] for c in (by, *fields)]
+            for k, *row in zip(*columns, strict=True):
+                queues.setdefault(k, []).append(tuple(row))
+                fresh[k] = max(fresh.get(k, -1), row[1])
+        now, out = state.getCurrentWatermarkMs(), []
+        for k in [*known, *(k for k in fresh if k not in known)]:
+            wake, cursor, newest, *held = known.get(k) or (0, start, -1, *scan.first)
+            if k not in fresh and wake > now:
+                continue
+            newest = max(newest, fresh.get(k, -1))
+            queue = sorted(queues.pop(k, ()), key=lambda r: r[0])
+            held, cursor, found, rest, ended = _release(scan, tuple(held), cursor, newest, queue, start, idle_ms, now)
+            out.extend((k, *r) for r in found)
+            if ended:
+                known.pop(k, None)
+                continue
+            known[k] = (max(min((r[1] for r in rest), default=newest + idle_ms), now + 1), cursor, newest, *held)
+            if rest:
+                queues[k] = rest
+        if known:
+            rows = [(k, *r) for k, queue in queues.items() for r in queue]
+            state.update((*_columns([(k, *v) for k, v in known.items()], size), *_columns(rows, len(waiting))))
+            state.setTimeoutTimestamp(max(min(v[0] for v in known.values()), now + 1))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return slim.groupBy("row_shard").applyInPandasWithState(work, output, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class QuietRuns(Scan):

@@ -92,6 +92,23 @@ def test_order_check_across_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in out.where("rec_id >= 0").collect()) == sorted(want) and left[-1] <= 2
 
 
+def test_recordings_of_a_shard_share_one_state(spark, tmp_path):
+    """Many small recordings, some ended and some idle, cost no state row and no visit each."""
+    rng = random.Random(9)
+    rows = [(i * 5 + k % 7, f"r{k}", i, rng.random() < 0.6, i == 11 and k % 3 == 0) for k in range(40) for i in range(12)]
+    batches = [[(r, at(s), i, q, z) for s, r, i, q, z in b] for b in late(rows, 4)]
+    batches += [[("end", at(100_000), 0, False, False)], [("end", at(200_000), 1, False, False)]]
+    stream = feed(spark, f"{tmp_path}/in", batches, "rec_id string, ts timestamp, frame_idx long, quiet boolean, last boolean")
+    out, left = drain(od.ordered(stream, od.QuietRuns(), "frame_idx", "1 minute", idle_ms=5000, shards=3), str(tmp_path))
+    want = []
+    for k in range(40):
+        flags = [q for _, r, _, q, _ in rows if r == f"r{k}"] + [False]
+        edges = [i for i, q in enumerate(flags) if q != (i > 0 and flags[i - 1])]
+        want += [(f"r{k}", a, b) for a, b in zip(edges[::2], edges[1::2])]
+    assert sorted(tuple(r) for r in out.where("rec_id <> 'end'").collect()) == sorted(want)
+    assert 1 < max(left) <= 3 and left[-1] <= 1
+
+
 @pytest.mark.parametrize("tolerant", [False, True])
 def test_repaired_blocks_equal_the_batch_form(spark, tmp_path, tolerant):
     rng = random.Random(7)
