@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.catalog import frame_queries
 from tapeloom.catalog.plan_queries import _noise
 from tapeloom.operators import intervals as iv
 from tapeloom.operators import packets as pk
@@ -94,6 +95,30 @@ def test_log_mel_hands_on_few_windows_at_a_time(spark, monkeypatch):
     assert sum(sizes) == 50 and max(sizes) <= 16
 
 
+def test_log_mel_of_whole_recordings(spark, tmp_path):
+    """Every frame of a recording counts, also one that crosses the end of a block of 800 samples."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.standard_normal(64) * 0.1).tolist(), 0) for i in [*range(57), 99]]  # 3200, 448 and 64 samples
+    rows[56] = (56, rows[56][1][:40], 0)
+    rows = spark.createDataFrame([*rows[:57], (150, rows[57][1], 0)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["rec_id"], r["block_idx"]): r for r in frame_queries.signal_log_mel(spark, str(tmp_path)).collect()}
+    want = {}
+    for rec in (0, 1, 3):
+        x = np.concatenate([np.float64(r["embedding"]) for r in rows.where(f"vec_id div 50 = {rec}").orderBy("vec_id").collect()])
+        for t in range(0, len(x) - 399, 160):
+            f = x[t : t + 400] - x[t : t + 400].mean()
+            f = np.concatenate([f[:1], f[1:]]) - 0.97 * np.concatenate([f[:1], f[:-1]])
+            power = np.abs(np.fft.rfft(f * np.hanning(400), 512)) ** 2
+            mel = (np.log(np.maximum(1.192092955078125e-07, power @ signal.mel_bank())) + 4.2677393) / (2 * 4.5689974)
+            want.setdefault((rec, t // 800), []).append(mel)
+    assert sum(map(len, want.values())) == 18 + 1 and set(got) == {*want, (3, 0)}
+    assert {k: r["frames"] for k, r in got.items()} == {**{k: len(m) for k, m in want.items()}, (3, 0): 0}
+    assert got[3, 0]["mean"] is None and got[3, 0]["spread"] is None and not any(r["truncated"] for r in got.values())
+    for k, m in want.items():
+        assert abs(got[k]["mean"] - 1000 * np.mean(m)) < 1 and abs(got[k]["spread"] - 1000 * np.std(m)) < 1
+
+
 def test_noise_is_made_a_few_blocks_at_a_time():
     rows = pd.DataFrame({"o_orderkey": range(1000), "rec_id": 0, "i": range(1000)})
     parts = list(_noise(iter([rows])))
