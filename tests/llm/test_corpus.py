@@ -423,6 +423,53 @@ def test_words_outside_the_head_tell_states(spark):
     assert all(r["score"] == pytest.approx(r["base_score"], rel=1e-3) for r in alone)
 
 
+def test_every_training_word_and_text_is_learned(spark, monkeypatch):
+    """Against plain rounds in which each word is a symbol: texts in many units, long ones, most words not told apart by the start."""
+    monkeypatch.setattr(hmm, "UNIT", 2000)
+    monkeypatch.setattr(hmm, "_TOKENS", 500)
+    rng = np.random.default_rng(4)
+    topic = lambda k, n: " ".join(f"{'pqr'[k]}{x}" if x % 3 else f"All{x % 5}" for x in (rng.zipf(1.3, n) % 400))
+    rows = [(i, topic(i % 3, 1500 if i % 8 == 0 else int(rng.integers(1, 60)))) for i in range(60)] + [(100, None), (101, ""), (None, "once p1"), (3, "p1 q1 p1")]
+    got = hmm.language_model(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=3, head=6, rounds=2).collect()
+
+    texts = [[*(t or "").lower().encode().split(), b""] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    c = Counter(w for t, h in zip(texts, held) if not h for w in t)
+    names = sorted({w for t in texts for w in t}, key=lambda w: (-c[w], w))
+    number, c = {w: i for i, w in enumerate(names)}, np.array([c[w] for w in names])
+    tokens, whole = c.sum(), c.sum() + (c > 0).sum() + 1
+    texts = [np.array([number[w] for w in t]) for t in texts]
+    train = [t for t, h in zip(texts, held) if not h]
+    assert max(map(len, train)) > 1400 and whole - tokens > 200
+    pairs = np.zeros((len(hmm.LAGS), 7, 7))
+    for t in train:
+        for i, d in enumerate(hmm.LAGS):
+            for a, b in zip(t, t[d:]):
+                pairs[i, min(a, 6), min(b, 6)] += 1
+    rest = whole - (c[:6] + 1).sum()
+    first = hmm.first_model(pairs, np.append(c[:6] + 1, rest) / whole, 3)
+    model = hmm.Model(first.start, first.move, np.vstack([first.emit[:6], (c[6:, None] + 1) / rest * first.emit[6]]))
+    for _ in range(2):
+        sums = [hmm.expected(model, t, np.array([0]), np.array([len(t)])) for t in train]
+        start, moves, emits = (sum(x[i] for x in sums) for i in range(3))
+        state = emits.sum(axis=0) / tokens
+        emit = (emits + state) / (state * whole)
+        assert np.allclose(emit.sum(axis=0), 1 + ((c == 0).sum() - 1) / whole)  # one share of all words never seen
+        model = hmm.Model((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), emit)
+    want = [(r[0] or -1, len(t), hmm.forward(model, t, np.array([0]), np.array([len(t)]))[0] / np.log(10)) for r, t in zip(rows, texts)]
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in got)
+    for (i, n, score), (j, m, exact) in zip(found, sorted(want), strict=True):
+        assert (i, n) == (j, m) and score == pytest.approx(exact, rel=1e-4)
+
+
+def test_words_seen_once_tell_states(spark):
+    """Two topics by a marker; every other word is seen once, yet is likelier in the state of its only text."""
+    text = lambda i: " ".join("pq"[i % 2] if n % 4 == 0 else f"w{i}x{n}" for n in range(40))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(160)], "doc_id long, text string")
+    got = hmm.language_model(docs, states=2, head=2).where("not held_out").collect()
+    assert sum(r["score"] - r["base_score"] for r in got) > (0.8 * 10 * np.log10(2) + 30 * 0.1) * len(got)
+
+
 def test_languages(spark):
     rng = np.random.default_rng(3)
     make = {"aa": ["tha", "ing", "wh"], "bb": ["oui", "eau", "é"], "cc": ["sch", "ung", "ß"]}
